@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import chat, decontaminate, simhash
+from arcweave.llm import chat, decontaminate, langid, lm, simhash
 from arcweave.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = chat.with_control(spark, table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.format_conversations(chat.linear_trees(conversations)))
@@ -25,6 +34,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_langid": op5_langid,
+    "op6_lm": op6_lm,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -1,0 +1,281 @@
+"""Surrogates for personal data and secrets.
+
+Entities are found in whole texts; each distinct one gets a replacement drawn from a keyed hash
+of itself, of the same kind and shape: digits for digits, letters for letters in their case and
+script, valid check digits, a name's gender and script. The same entity is replaced the same way
+everywhere. Replacements are checked over the whole corpus: two entities of a kind never share
+one, and none equals an entity that occurs; whoever loses such a clash draws again.
+"""
+
+from __future__ import annotations
+
+import hmac
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from arcweave.llm.common import cut
+
+KEY = "arcweave-demo-key"
+
+# Given names by gender and script, and syllables of family names by script.
+GIVEN = {
+    ("f", "latin"): "Alice Amelia Barbara Caroline Charlotte Christine Eleanor Elizabeth Francesca Gabriela Hannah Isabella Johanna Katharina Margaret Mathilde Patricia Rebecca Susanne Veronica".split(),
+    ("m", "latin"): "Alexander Anthony Benjamin Christopher Edward Ferdinand Frederick Guillermo Harrison Jonathan Leonard Maximilian Nicholas Patrick Raymond Sebastian Theodore Vincent William Zachary".split(),
+    ("f", "cyrillic"): "Анастасия Валентина Екатерина Людмила Маргарита Надежда Светлана Татьяна".split(),
+    ("m", "cyrillic"): "Александр Владимир Дмитрий Константин Михаил Николай Станислав Тимофей".split(),
+}
+SYLLABLES = {
+    "latin": "ber car den far gal hol kem lin mar nor pel quin ros stan tor ul ver wes yor zan".split(),
+    "cyrillic": "бер вол гор дам зор кар лен мир нов пет рос сок тим фед хар шев".split(),
+}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f"}
+COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE"
+
+_GENDER = {name: g for (g, _), names in GIVEN.items() for name in names}
+_NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_PATTERNS = [
+    ("email", r"(?<![\w.%+-])[\w.%+-]*[\w%+-]@(?:[\w-]+\.)+[A-Za-z]{2,}"),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<secret>[A-Za-z0-9_+/.-]{8,}[A-Za-z0-9_+/-])|\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})\b"),
+    ("iban", rf"\b(?:{'|'.join(COUNTRIES.split())})\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b"),
+    ("ip", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
+    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
+    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])"),
+    ("title", rf"\b(?P<title>{'|'.join(TITLES)})\.? (?P<names>{_NAME}(?: {_NAME})?)"),
+    ("name", rf"\b(?P<given>{'|'.join(_GENDER)}) (?P<family>{_NAME})"),
+]
+_ENTITY = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in _PATTERNS))
+#: No entity lacks all of these.
+_HINT = re.compile(rf"[0-9@]|[=:]|\b(?:{'|'.join([*TITLES, *_GENDER])})\b")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c)
+        total += d if k % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def iban_rest(text: str) -> int:
+    moved = text[4:] + text[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
+def script_of(name: str) -> str:
+    return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
+
+
+def entities(text: str | None) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, entity) in order, not overlapping; entity is what coreferent mentions share.
+
+    Kinds end in their shape's fixed part where one is to be kept: a name's gender and script.
+    """
+    if not text or not _HINT.search(text):
+        return []
+    out, at = [], 0
+    while m := _ENTITY.search(text, at):
+        (s, e), own = m.span(), []
+        kind = next(k for k, _ in _PATTERNS if m.group(f"k_{k}") is not None)
+        if kind == "secret":
+            which = "secret" if m.group("secret") else "aws"
+            own = [(*m.span(which), "secret", m.group(which))]
+        elif kind == "card":
+            digits = re.sub(r"\D", "", m.group())
+            own = [(s, e, "card", digits)] if luhn(digits) else []
+        elif kind == "iban":
+            plain = m.group().replace(" ", "")
+            own = [(s, e, "iban", plain)] if 15 <= len(plain) <= 34 and iban_rest(plain) == 1 else []
+        elif kind == "phone":
+            digits = re.sub(r"\D", "", m.group())
+            own = [(s, e, "phone", ("+" if m.group()[0] == "+" else "") + digits)] if 8 <= len(digits) <= 15 else []
+        elif kind in ("title", "name"):
+            if kind == "title":
+                b, parts, gender = m.start("names"), m.group("names").split(" "), TITLES[m.group("title")]
+            else:
+                b, parts, gender = s, m.group().split(" "), _GENDER[m.group("given")]
+            for k, part in enumerate(parts):
+                role = "family" if k == len(parts) - 1 else f"given-{_GENDER.get(part, gender)}"
+                own.append((b, b + len(part), f"{role}-{script_of(part)}", part))
+                b += len(part) + 1
+        else:
+            own = [(s, e, kind, m.group().lower() if kind == "email" else m.group())]
+        out += own
+        at = own[-1][1] if own else s + max(1, len(m.group()) if kind not in ("card", "phone", "iban") else 1)
+    return out
+
+
+class Draw:
+    """A stream of numbers keyed by what is to be replaced and how often it was tried."""
+
+    def __init__(self, key: str, kind: str, entity: str, attempt: int):
+        self.key, self.seed = key.encode(), f"{kind}\0{entity}\0{attempt}".encode()
+        self.block, self.left = 0, b""
+
+    def below(self, n: int) -> int:
+        if len(self.left) < 4:
+            self.left += hmac.digest(self.key, self.seed + self.block.to_bytes(4, "big"), "sha256")
+            self.block += 1
+        value, self.left = int.from_bytes(self.left[:4], "big"), self.left[4:]
+        return value % n
+
+    def pick(self, values):
+        return values[self.below(len(values))]
+
+    def like(self, text: str) -> str:
+        """Digits for digits, letters for letters of the same case (hex stays hex), the rest as it is."""
+        hexed = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and not text.isalpha() and not text.isdigit()
+        out = []
+        for c in text:
+            if hexed and c.isalnum():
+                x = self.pick("0123456789abcdef")
+                out.append(x.upper() if text.isupper() else x)
+            elif c in "0123456789":
+                out.append(self.pick("0123456789"))
+            elif "a" <= c <= "z":
+                out.append(self.pick("abcdefghijklmnopqrstuvwxyz"))
+            elif "A" <= c <= "Z":
+                out.append(self.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            elif c.isalpha():
+                x = self.pick(SYLLABLES[script_of(c)])[0]
+                out.append(x.upper() if c.isupper() else x)
+            else:
+                out.append(c)
+        return "".join(out)
+
+
+def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
+    """The replacement in the entity's plain form (see ``worn`` for a mention's own form)."""
+    draw = Draw(key, kind, entity, attempt)
+    if kind == "email":
+        local, domain = entity.rsplit("@", 1)
+        labels = domain.split(".")
+        # A domain's replacement depends on the domain alone, so colleagues stay colleagues.
+        house = Draw(key, "domain", domain, 0)
+        return draw.like(local) + "@" + ".".join([*(house.like(x) for x in labels[:-1]), labels[-1]])
+    if kind == "secret":
+        fixed = entity[:4] if entity[:4] in ("AKIA", "ASIA") else ""
+        rest = entity[len(fixed) :]
+        return fixed + ("".join(draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in rest) if fixed else draw.like(rest))
+    if kind == "ip":
+        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    if kind == "card":
+        body = entity[0] + "".join(draw.pick("0123456789") for _ in entity[1:-1])
+        return next(body + d for d in "0123456789" if luhn(body + d))
+    if kind == "iban":
+        body = draw.like(entity[4:])
+        return f"{entity[:2]}{98 - iban_rest(entity[:2] + '00' + body):02d}{body}"
+    if kind == "phone":
+        keep = 2 if entity[0] == "+" else 0  # the plus sign and the country code's first digit
+        return entity[:keep] + "".join(draw.pick("23456789" if k == 0 else "0123456789") for k in range(len(entity) - keep))
+    if kind == "ssn":
+        return f"{1 + draw.below(665):03d}-{1 + draw.below(99):02d}-{1 + draw.below(9999):04d}"
+    role, *shape = kind.split("-")
+    if role == "given":
+        names = GIVEN[shape[0], shape[1]]
+        # The list first; later tries are double names, so that it never runs out.
+        return draw.pick(names) if attempt < 4 else "-".join(draw.pick(names) for _ in range(2 + attempt // 40))
+    made = "".join(draw.pick(SYLLABLES[shape[0]]) for _ in range(3 + attempt // 8))
+    return made.upper() if entity.isupper() else made.capitalize()
+
+
+def worn(kind: str, mention: str, plain: str) -> str:
+    """``plain`` with the separators and the case of ``mention``."""
+    if kind in ("card", "phone", "iban"):
+        rest = iter(plain)
+        return "".join(next(rest) if c.isalnum() or c == "+" else c for c in mention)
+    if kind == "email":
+        return plain.upper() if mention.isupper() else plain
+    return plain
+
+
+def assign(found: DataFrame, key: str = KEY, max_rounds: int = 200) -> DataFrame:
+    """(kind, entity, plain): a replacement for each distinct entity of ``found`` (kind, entity).
+
+    Each round, of those of a kind that drew the same replacement the one with the least entity
+    keeps it, and of those that drew an existing entity none does; the others draw again. Only
+    pairs of strings move; no group of them is gathered.
+    """
+
+    def drawn(df: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind, entity, attempt = (c.to_pylist() for c in batch.columns)
+                made = [surrogate(key, k, e, a) for k, e, a in zip(kind, entity, attempt)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "entity", "attempt", "plain"])
+
+        return df.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, plain string")
+
+    known = cut(found.select("kind", "entity").distinct())
+    taken = known.select("kind", F.col("entity").alias("plain"))
+    current = cut(drawn(known.withColumn("attempt", F.lit(0))))
+    for _ in range(max_rounds):
+        # Whoever drew something first (a lower attempt) keeps it.
+        first = current.groupBy("kind", "plain").agg(F.min(F.struct("attempt", "entity")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+        shared = first.where("n > 1").drop("n").unionByName(
+            first.join(taken, ["kind", "plain"], "left_semi").select("kind", "plain", F.lit(None).cast("struct<attempt: int, entity: string>").alias("keeper"))
+        ).groupBy("kind", "plain").agg(F.min(F.struct(F.col("keeper").isNotNull().alias("some"), "keeper")).alias("k"))
+        losers = current.join(shared, ["kind", "plain"]).where(~F.col("k.some") | (F.col("entity") != F.col("k.keeper.entity")))
+        losers = cut(losers.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
+        if losers.isEmpty():
+            return current.select("kind", "entity", "plain")
+        current = cut(current.join(losers, ["kind", "entity"], "left_anti").unionByName(drawn(losers)))
+    raise RuntimeError(f"replacements still clash after {max_rounds} rounds")
+
+
+def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs``, all its columns, with entities of ``text`` replaced, then ``pii`` array<string>.
+
+    pii lists the kinds found, one for each mention. Rows without entities are untouched (null
+    and empty texts among them); n_chars, if there, follows the text. Repeated rows are treated
+    alike, each for itself.
+    """
+    at, schema = docs.columns.index("text"), docs.schema
+    names = docs.columns
+    spans = "array<struct<start: int, end: int, kind: string, entity: string>>"
+    kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string())]))
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [entities(t) for t in batch.column(at).to_pylist()]
+            some = pa.array([bool(x) for x in found])
+            own = pa.array([[{"start": s, "end": e, "kind": k, "entity": v} for s, e, k, v in x] for x in found if x], kind_of)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.filter(some).columns, fields=list(batch.schema)), own], names=["row", "spans"])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not entities(t) for t in batch.column(at).to_pylist()]))
+
+    held = cut(docs.mapInArrow(detect, T.StructType([T.StructField("row", schema), *T._parse_datatype_string(f"spans {spans}").fields])))
+    held = held.withColumn("at", F.monotonically_increasing_id())  # of checkpointed rows: it stays
+    mentions = held.select("at", F.explode("spans").alias("m")).select("at", "m.start", "m.kind", "m.entity")
+    plains = assign(mentions, key)
+    told = mentions.join(plains, ["kind", "entity"]).groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "plain"))).alias("plains"))
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, marks, plain = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            columns = row.flatten()
+            texts, kinds = [], []
+            for text, own, new in zip(columns[at].to_pylist(), marks, plain):
+                parts, done = [], 0
+                for m, p in zip(own, new):
+                    parts += [text[done : m["start"]], worn(m["kind"], text[m["start"] : m["end"]], p["plain"])]
+                    done = m["end"]
+                texts.append("".join([*parts, text[done:]]))
+                kinds.append([m["kind"].split("-")[0] for m in own])
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                columns[k] = pa.array([len(t) for t in texts], columns[k].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*names, "pii"])
+
+    out = T.StructType([*schema.fields, T.StructField("pii", T.ArrayType(T.StringType()))])
+    changed = held.join(told, "at").select("row", "spans", "plains").mapInArrow(rewrite, out)
+    return docs.mapInArrow(clean, schema).withColumn("pii", F.array().cast("array<string>")).unionByName(changed)

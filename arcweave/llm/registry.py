@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import chat, decontaminate, langid, lm, simhash
+from arcweave.llm import chat, decontaminate, langid, lm, pii, simhash, toxicity
 from arcweave.llm.common import table
 
 
@@ -23,6 +23,16 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = chat.with_control(spark, table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.format_conversations(chat.linear_trees(conversations)))
@@ -36,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_langid": op5_langid,
     "op6_lm": op6_lm,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -105,7 +105,7 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> tuple[lis
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Halfway between the two out-of-fold probabilities around the cut with the fewest errors; within 0.2 to 0.8."""
+    """Halfway between the two out-of-fold probabilities around the cut with the fewest errors; within 0.05 to 0.95."""
     if not len(p):
         return 0.5
     order = np.argsort(p)
@@ -113,7 +113,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     errors = np.concatenate([[(t == 0).sum()], (t == 0).sum() + np.cumsum(np.where(t == 1, 1, -1))])
     k = int(errors.argmin())
     low, high = (s[k - 1] if k else 0.0), (s[k] if k < len(s) else 1.0)
-    return float(np.clip((low + high) / 2, 0.2, 0.8))
+    return float(np.clip((low + high) / 2, 0.05, 0.95))
 
 
 def matrix(found: list[set[bytes]], features: list[bytes]) -> np.ndarray:

@@ -48,8 +48,8 @@ class Vocabulary:
         self.rank = np.full(n + 1, -1.0)
         self.rank[normal] = [-model.get_score(i) for i in normal]
         self.unknown = n  # a code point that is no piece: it never merges and is told as bytes
-        if any(re.search(rb"[^ ] |\n", self.piece[i]) for i in normal):
-            raise ValueError("a piece with a space after another character, or a line end, would join segments")
+        if any(re.search(rb"[^ ] |\n|%b%b" % (_LETTER, _POINT), self.piece[i]) for i in normal):
+            raise ValueError("a piece with a space after another character, a line end, or punctuation after a letter would join segments")
         self.dummy = model.encode("a", out_type=str)[0].encode().startswith(MARK)
         pairs, left, right = {}, np.full(n + 1, -1), np.full(n + 1, -1)
         for i in normal:
@@ -320,7 +320,11 @@ class Encoder:
         return self.ids[rows], np.diff(total[np.concatenate([[0], np.cumsum(number)])])
 
 
-_SEGMENT = re.compile(rb" *[^ \n]+|\n| +")
+#: ASCII letters and digits and the code points U+00C0 to U+07FF, no piece of which goes on with ASCII punctuation.
+_LETTER = rb"(?:[A-Za-z0-9]|[\xc3-\xdf][\x80-\xbf])"
+_POINT = rb"[!-/:-@\[-`{-~]"
+_OTHER = rb"(?:\xc2[\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3}|[\0-\x09\x0b-\x1f\x7f])"
+_SEGMENT = re.compile(rb" *(?:%b+(?:%b|%b%b*)*|(?:%b|%b%b*)+)| +|\n" % (_POINT, _LETTER, _OTHER, _POINT, _LETTER, _OTHER, _POINT))
 
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import chat, decontaminate, langid, lm, pii, sentencepiece, simhash, toxicity
+from arcweave.llm import chat, decontaminate, fingerprint, langid, lm, pii, sentencepiece, simhash, toxicity
 from arcweave.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_fingerprint": op3_fingerprint,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_langid": op5_langid,
     "op6_lm": op6_lm,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_fingerprint": fingerprint.ORACLE,
     "op9_chat": chat.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import chat, decontaminate, fingerprint, langid, lm, pii, sentencepiece, simhash, toxicity
+import corpus_pipeline
+
+from arcweave.llm import chat, decontaminate, fingerprint, langid, license, lm, pii, sentencepiece, simhash, toxicity
 from arcweave.llm.common import table
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license": op1_license,
     "op2_simhash": op2_simhash,
     "op3_fingerprint": op3_fingerprint,
     "op4_sentencepiece": op4_sentencepiece,
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -33,8 +33,12 @@ def features_of(words: set[bytes]) -> set[bytes]:
     return words | {b"^4" + w[:4] for w in words if len(w) > 4} | {b"^5" + w[:5] for w in words if len(w) > 5}
 
 
-def choose(found: list[set[bytes]], labels: np.ndarray, positive: int = 384, negative: int = 64) -> tuple[list[bytes], list[bytes]]:
-    """The features most associated with label 1 and with label 0, and those of the former that are cues."""
+def choose(found: list[set[bytes]], labels: np.ndarray, positive: int = 384, negative: int = 64, least: float = 2.8) -> tuple[list[bytes], list[bytes]]:
+    """The features most associated with label 1 and with label 0, and those of the former that are cues.
+
+    Of many rare features some fit the labels by chance; those whose log-odds ratio is under
+    ``least`` standard errors are left out.
+    """
     yes, no = Counter(), Counter()
     for own, label in zip(found, labels):
         (yes if label else no).update(own)
@@ -45,8 +49,8 @@ def choose(found: list[set[bytes]], labels: np.ndarray, positive: int = 384, neg
         if yes[f] + no[f] >= 4:
             z[f] = (np.log(a / (n + 1 - a)) - np.log(b / (m + 1 - b))) / np.sqrt(1 / a + 1 / b)
     order = sorted(z, key=lambda f: (-z[f], f))
-    top = [f for f in order if z[f] > 0][:positive]
-    low = [f for f in reversed(order) if z[f] < 0][:negative]
+    top = [f for f in order if z[f] > least][:positive]
+    low = [f for f in reversed(order) if z[f] < -least][:negative]
     return top + low, [f for f in top if z[f] > 4 and no[f] * n < 0.1 * yes[f] * m]
 
 
@@ -105,7 +109,7 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> tuple[lis
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Halfway between the two out-of-fold probabilities around the cut with the fewest errors; within 0.05 to 0.95."""
+    """Halfway between the two out-of-fold probabilities around the cut with the fewest errors; within 0.25 to 0.95."""
     if not len(p):
         return 0.5
     order = np.argsort(p)
@@ -113,7 +117,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     errors = np.concatenate([[(t == 0).sum()], (t == 0).sum() + np.cumsum(np.where(t == 1, 1, -1))])
     k = int(errors.argmin())
     low, high = (s[k - 1] if k else 0.0), (s[k] if k < len(s) else 1.0)
-    return float(np.clip((low + high) / 2, 0.05, 0.95))
+    return float(np.clip((low + high) / 2, 0.25, 0.95))
 
 
 def matrix(found: list[set[bytes]], features: list[bytes]) -> np.ndarray:
@@ -124,7 +128,7 @@ def matrix(found: list[set[bytes]], features: list[bytes]) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Chain:
     """A chain from about ``sample`` labelled rows, or all of them.
 
     labels: doc_id, toxic (0 or 1; nulls don't count, a row with any 1 is toxic). Without labelled

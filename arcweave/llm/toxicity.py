@@ -33,11 +33,10 @@ def features_of(words: set[bytes]) -> set[bytes]:
     return words | {b"^4" + w[:4] for w in words if len(w) > 4} | {b"^5" + w[:5] for w in words if len(w) > 5}
 
 
-def choose(found: list[set[bytes]], labels: np.ndarray, positive: int = 384, negative: int = 64, least: float = 2.8) -> tuple[list[bytes], list[bytes]]:
+def choose(found: list[set[bytes]], labels: np.ndarray, positive: int = 384, negative: int = 64, least: float = 0.0) -> tuple[list[bytes], list[bytes]]:
     """The features most associated with label 1 and with label 0, and those of the former that are cues.
 
-    Of many rare features some fit the labels by chance; those whose log-odds ratio is under
-    ``least`` standard errors are left out.
+    Association is the log-odds ratio in its standard errors, more than ``least``.
     """
     yes, no = Counter(), Counter()
     for own, label in zip(found, labels):

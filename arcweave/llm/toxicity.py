@@ -14,7 +14,6 @@ prediction reads whole texts of all rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,24 +32,29 @@ def features_of(words: set[bytes]) -> set[bytes]:
     return words | {b"^4" + w[:4] for w in words if len(w) > 4} | {b"^5" + w[:5] for w in words if len(w) > 5}
 
 
-def choose(found: list[set[bytes]], labels: np.ndarray, positive: int = 384, negative: int = 64, least: float = 0.0) -> tuple[list[bytes], list[bytes]]:
-    """The features most associated with label 1 and with label 0, and those of the former that are cues.
+def numbered(texts: Iterator[set[bytes]]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Each text's features as numbers, and the features in that order; far smaller than sets of bytes."""
+    place: dict[bytes, int] = {}
+    rows = [np.array([place.setdefault(f, len(place)) for f in features_of(own)], dtype=np.int32) for own in texts]
+    return rows, list(place)
 
-    Association is the log-odds ratio in its standard errors, more than ``least``.
+
+def choose(rows: list[np.ndarray], names: list[bytes], labels: np.ndarray, positive: int = 384, negative: int = 64) -> tuple[list[int], list[int]]:
+    """The features most associated with label 1, then with label 0; and those of the former that are cues.
+
+    Association is the log-odds ratio in its standard errors; of features in at least four texts.
     """
-    yes, no = Counter(), Counter()
-    for own, label in zip(found, labels):
-        (yes if label else no).update(own)
+    every = [np.concatenate([r for r, y in zip(rows, labels) if y == k] or [np.zeros(0, dtype=np.int32)]) for k in (1, 0)]
+    yes, no = (np.bincount(x, minlength=len(names)) for x in every)
     n, m = int(labels.sum()), int(len(labels) - labels.sum())
-    z = {}
-    for f in yes.keys() | no.keys():
-        a, b = yes[f] + 0.5, no[f] + 0.5
-        if yes[f] + no[f] >= 4:
-            z[f] = (np.log(a / (n + 1 - a)) - np.log(b / (m + 1 - b))) / np.sqrt(1 / a + 1 / b)
-    order = sorted(z, key=lambda f: (-z[f], f))
-    top = [f for f in order if z[f] > least][:positive]
-    low = [f for f in reversed(order) if z[f] < -least][:negative]
-    return top + low, [f for f in top if z[f] > 4 and no[f] * n < 0.1 * yes[f] * m]
+    often = np.flatnonzero(yes + no >= 4)
+    a, b = yes[often] + 0.5, no[often] + 0.5
+    z = (np.log(a / (n + 1 - a)) - np.log(b / (m + 1 - b))) / np.sqrt(1 / a + 1 / b)
+    order = sorted(range(len(often)), key=lambda k: (-z[k], names[often[k]]))
+    top = [k for k in order if z[k] > 0][:positive]
+    low = [k for k in reversed(order) if z[k] < 0][:negative]
+    cues = [k for k in top if z[k] > 4 and no[often[k]] * n < 0.1 * yes[often[k]] * m]
+    return [int(often[k]) for k in top + low], [int(often[k]) for k in cues]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 8) -> np.ndarray:
@@ -127,7 +131,7 @@ def matrix(found: list[set[bytes]], features: list[bytes]) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Chain:
     """A chain from about ``sample`` labelled rows, or all of them.
 
     labels: doc_id, toxic (0 or 1; nulls don't count, a row with any 1 is toxic). Without labelled
@@ -145,16 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Chain:
                 names=["doc_id", "toxic", "words", "n"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(told, "doc_id long, toxic int, words binary, n long").toArrow().sort_by("doc_id")
-    found = [features_of(set(w.split())) for w in got.column("words").to_pylist()]
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
+    got = chosen.select("doc_id", "toxic", "text").mapInArrow(told, "doc_id long, toxic int, words binary, n long").toArrow().sort_by("doc_id")
+    rows, names = numbered(set(w.as_py().split()) for w in got.column("words"))
     lengths = np.array(got.column("n").to_pylist(), dtype=float)
     toxic = np.array(got.column("toxic").to_pylist(), dtype=int)
-    if not len(found) or not toxic.any():
+    if not len(rows) or not toxic.any():
         return Chain([], [np.array([-6.0]), np.array([0.0, -6.0]), np.array([0.0, 0.0, -6.0])], 0.5)
-    features, cues = choose(found, toxic)
-    cue = frozenset(cues)
-    hits = np.array([len(cue & own) for own in found], dtype=float)
+    features, cues = choose(rows, names, toxic)
+    hits = np.array([np.isin(own, cues).sum() for own in rows], dtype=float)
     dense = hits / np.maximum(lengths, 1)
     targets = np.stack(
         [
@@ -164,9 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Chain:
         ],
         axis=1,
     )
-    fold = np.arange(len(found)) % FOLDS
-    weights, out = fit_chain(matrix(found, features), targets, fold)
-    return Chain(features, weights, best_threshold(out[:, -1], toxic))
+    column = np.full(len(names), -1)
+    column[features] = np.arange(len(features))
+    x = np.zeros((len(rows), len(features)), dtype=np.float32)
+    for k, own in enumerate(rows):
+        x[k, column[own][column[own] >= 0]] = 1
+    weights, out = fit_chain(x, targets, np.arange(len(rows)) % FOLDS)
+    return Chain([names[f] for f in features], weights, best_threshold(out[:, -1], toxic))
 
 
 def _scorer(docs: DataFrame, chain: Chain):

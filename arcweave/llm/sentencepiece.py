@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-SLICE = 4 << 20
+SLICE = 2 << 20
+AT_ONCE = 40_000  # segments indexed together
 
 
 class Vocabulary:
@@ -197,7 +198,7 @@ def occurrences(vocabulary: Vocabulary, text: bytes) -> tuple[np.ndarray, np.nda
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, memory: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, memory: int = 150_000):
         self.vocabulary, self.memory = vocabulary, memory
         self.forget()
 
@@ -283,7 +284,9 @@ class Encoder:
         v = self.vocabulary
         plain = [s for s in segments if b"  " not in s and b"\0" not in s]
         odd = [s for s in segments if b"  " in s or b"\0" in s]
-        ids, counts = self._relax(plain) if plain else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        done = [self._relax(plain[k : k + AT_ONCE]) for k in range(0, len(plain), AT_ONCE)]
+        ids = np.concatenate([np.zeros(0, dtype=np.int32), *(x for x, _ in done)])
+        counts = np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in done)])
         if odd:
             more = [v.merges(s)[0] for s in odd]
             ids = np.concatenate([ids, *(np.array(x, dtype=np.int32) for x in more)])

@@ -52,8 +52,7 @@ def symbols(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((get(w, OTHER) for w in words), dtype=np.int64, count=len(words))
 
 
-def pairs(words: list[bytes], vocabulary: dict[bytes, int], size: int) -> np.ndarray:
-    own = symbols(words, vocabulary)
+def pairs(own: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([[START], own[:-1]]) * size + own if len(own) else own
 
 
@@ -64,23 +63,24 @@ def count_pairs(docs: DataFrame, labels: DataFrame, vocabulary: dict[bytes, int]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [pairs(words_of(t), shared.value, size).astype("<i4").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "pairs"])
+            made = [symbols(words_of(t), shared.value).astype("<u2").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "symbols"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size * size), dtype=np.int64)
         for batch in batches:
             for blob, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own, times = np.unique(np.frombuffer(blob, dtype="<i4"), return_counts=True)
+                own, times = np.unique(pairs(np.frombuffer(blob, dtype="<u2").astype(np.int64), size), return_counts=True)
                 total[0, own] += times
                 if mark:
                     total[1, own] += times
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0, seen]), pa.array(total[1, seen])], names=["pair", "n", "good"])
 
-    # The join decides which rows are good; it moves symbols, not texts.
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, pairs binary").join(good, "doc_id", "left")
-    counted = marked.select("pairs", "good").mapInArrow(count, "pair long, n long, good long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
+    # The join decides which rows are good; it moves symbols of two bytes, not texts, and sorts
+    # both sides at any size, as labels grow with the documents.
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, symbols binary").join(good.hint("merge"), "doc_id", "left")
+    counted = marked.select("symbols", "good").mapInArrow(count, "pair long, n long, good long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
     out = np.zeros((2, size * size))
     at = counted.column("pair").to_numpy()
     out[0, at], out[1, at] = counted.column("n").to_numpy(), counted.column("good").to_numpy()
@@ -97,6 +97,8 @@ def losses(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, size: int = 1024) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs`` (doc_id, text).
 
+    ``size`` is 65,536 at most.
+
     Losses are bits a token; score is their difference, lower for texts more like the target. A
     text without words (null, empty) has no tokens and null losses. Without any good row the
     target model knows only its smoothing. Labels of unknown rows and null labels don't count, a
@@ -112,7 +114,7 @@ def score(docs: DataFrame, labels: DataFrame, size: int = 1024) -> DataFrame:
             known, target, background = shared.value
             rows = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                own = pairs(words_of(text), known, size)
+                own = pairs(symbols(words_of(text), known), size)
                 if len(own):
                     a, b = float(target.ravel()[own].mean(dtype=np.float64)), float(background.ravel()[own].mean(dtype=np.float64))
                     rows.append((len(own), a, b, a - b))

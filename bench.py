@@ -26,6 +26,8 @@ def main() -> None:
             began = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.time() - began)
+            if best > 4:  # long runs aren't repeated
+                break
         found[name] = round(best, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
     spark.stop()

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,10 +68,14 @@ def branches(messages: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, list
 
     messages: id string, parent string (null, or not the id of a row: a root), score double
     (null: 0). Messages on a cycle have no root and don't come out.
+
+    A round moves only messages without a root yet. Whoever is asked in a round was asked in all
+    rounds before it, so a message that has its root and is no longer asked leaves the rounds:
+    short trees are done after a few, however deep others are.
     """
     ids = messages.select("id")
     linked = messages.join(ids.select(F.col("id").alias("there")), F.col("parent") == F.col("there"), "left")
-    state = cut(
+    active = cut(
         linked.select(
             "id",
             F.col("there").alias("up"),
@@ -79,24 +84,29 @@ def branches(messages: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, list
             F.coalesce("score", F.lit(0.0)).alias("score"),
         )
     )
-    jumps, before = [], None
+    done, jumps, before = [active.where("up IS NULL")], [], None
     for _ in range(max_rounds):
-        open_ = state.where("up IS NOT NULL")
+        open_ = active.where("up IS NOT NULL")
         left = open_.count()
         if not left or left == before:
             break
         before = left
         jumps.append(open_.select("id", "up"))
-        over = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        moved = state.join(over, "up", "left").select(
+        over = active.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        moved = open_.join(over, "up").select(
             "id",
             F.col("up2").alias("up"),
-            F.coalesce("root", "root2").alias("root"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
+            F.col("root2").alias("root"),
+            (F.col("depth") + F.col("depth2")).alias("depth"),
+            (F.col("score") + F.col("score2")).alias("score"),
+            F.lit(True).alias("moved"),
         )
-        state = cut(moved)
-    return state.where("up IS NULL AND root IS NOT NULL").select("id", "root", "depth", "score"), jumps
+        asked = open_.select(F.col("up").alias("id")).distinct()
+        kept = active.where("up IS NULL").join(asked, "id", "left_semi").select("id", "up", "root", "depth", "score", F.lit(False).alias("moved"))
+        active = cut(moved.unionByName(kept))
+        done.append(active.where("moved AND up IS NULL"))
+    found = [part.select("id", "root", "depth", "score") for part in done]
+    return reduce(DataFrame.unionByName, found), jumps
 
 
 def best_paths(messages: DataFrame, per_root: int = 1) -> DataFrame:

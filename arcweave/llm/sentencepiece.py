@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,7 +156,7 @@ def suffix_array(text: bytes, words: int) -> tuple[np.ndarray, list[np.ndarray]]
     raw = np.frombuffer(text + b"\0" * (8 * words), dtype=np.uint8)
     n = len(text)
     ends = np.flatnonzero(raw == 0)
-    room = ends[np.searchsorted(ends, np.arange(n + 8 * words))] - np.arange(n + 8 * words)  # bytes left in the segment
+    room = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n + 8 * words)  # bytes left in the segment
     key = np.zeros(n + 8 * words, dtype=np.uint64)
     for k in range(8):
         key[: len(key) - k] |= np.where(room[: len(key) - k] > k, raw[k:], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
@@ -234,9 +235,8 @@ class Encoder:
         covered[position[single]] = True
         alone = (raw[head] != 0) & ~covered[head]
         position, piece, length = np.concatenate([position, head[alone]]), np.concatenate([piece, np.full(alone.sum(), v.unknown)]), np.concatenate([length, width[alone]])
-        segment = np.searchsorted(begin, position, side="right") - 1
         end = position + length
-        level = end - begin[segment]
+        level = end - np.repeat(begin, lengths + 1)[position]
         order = np.lexsort((-length, level))
         position, piece, end, level = position[order], piece[order], end[order], level[order]
         last = np.full(len(raw) + 1, -1, dtype=np.int64)  # the piece kept at each end
@@ -312,11 +312,11 @@ class Encoder:
         if len(self.place) > self.memory:
             self.forget()
         parts = [self.segments(t) for t in texts]
-        new = list({s for own in parts for s in own} - self.place.keys())
+        new = list(set().union(*parts).difference(self.place))
         if new:
             self.learn(new)
         number = np.array([len(p) for p in parts], dtype=np.int64)
-        at = np.fromiter((self.place[s] for own in parts for s in own), dtype=np.int64, count=int(number.sum()))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(number.sum()))
         size = self.start[at + 1] - self.start[at]
         rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[at], size)
         total = np.concatenate([[0], np.cumsum(size)])

@@ -1,10 +1,16 @@
 """Cross-entropy difference scoring (Moore and Lewis, 2010).
 
 Two bigram models, of a target (the rows that labels call good) and of the background (all
-rows), share one vocabulary: the corpus's most frequent words, one symbol for all others and one
-for a text's start. Words, bigrams and both models' counts come from all documents. The
-vocabulary's size is the models' only bound: their probabilities are two tables of ``size``
-squared single floats (8 MB at 1,024), the one thing sent to the tasks.
+rows), share one vocabulary: every word of the corpus. Words, bigrams and both models' counts
+come from all documents and grow with them.
+
+The ``common`` most frequent words only say how a bigram is counted, not whether. Bigrams of two
+common words have tables of ``common`` squared single floats that are sent to the tasks (8 MB at
+1,024). All others go by key to the task of a word in them that isn't common: it has at most a
+share of 1 in ``common`` of all tokens, so no key is hot. There the counts of the word and of its
+bigrams meet, and what they add to each document's loss goes back to the document. Words that
+aren't common are told apart by 63 bits of a hash (10**9 words: one pair in 18 runs is taken for
+one word).
 """
 
 from __future__ import annotations
@@ -13,12 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.common import cut
 from arcweave.llm.decontaminate import words_of
 
 OTHER, START = 0, 1
+WEIGHT = 20.0
+RARE = 1 << 63  # set in the codes of words that aren't common
 
 
 def count_words(docs: DataFrame, flush: int = 200_000) -> DataFrame:
@@ -41,9 +52,9 @@ def count_words(docs: DataFrame, flush: int = 200_000) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = 1024) -> dict[bytes, int]:
-    """The ``size`` - 2 most frequent words (ties: the smaller first) and their symbols."""
-    top = count_words(docs).orderBy(F.col("n").desc(), "word").limit(size - 2).collect()
+def vocabulary(counted: DataFrame, size: int = 1024) -> dict[bytes, int]:
+    """The ``size`` - 2 most frequent words of ``counted`` (ties: the smaller first) and their symbols."""
+    top = counted.orderBy(F.col("n").desc(), "word").limit(size - 2).collect()
     return {bytes(r.word): k for k, r in enumerate(top, 2)}
 
 
@@ -56,9 +67,12 @@ def pairs(own: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([[START], own[:-1]]) * size + own if len(own) else own
 
 
+def good_rows(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(1))
+
+
 def count_pairs(docs: DataFrame, labels: DataFrame, vocabulary: dict[bytes, int], size: int) -> np.ndarray:
     """[2, size, size] counts of bigrams: of all rows, of the rows that ``labels`` calls good."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(1))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +93,7 @@ def count_pairs(docs: DataFrame, labels: DataFrame, vocabulary: dict[bytes, int]
 
     # The join decides which rows are good; it moves symbols of two bytes, not texts, and sorts
     # both sides at any size, as labels grow with the documents.
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, symbols binary").join(good.hint("merge"), "doc_id", "left")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, symbols binary").join(good_rows(labels).hint("merge"), "doc_id", "left")
     counted = marked.select("symbols", "good").mapInArrow(count, "pair long, n long, good long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
     out = np.zeros((2, size * size))
     at = counted.column("pair").to_numpy()
@@ -87,17 +101,87 @@ def count_pairs(docs: DataFrame, labels: DataFrame, vocabulary: dict[bytes, int]
     return out.reshape(2, size, size)
 
 
-def losses(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
+def shares(counts: np.ndarray, slots: int) -> np.ndarray:
+    """The words' own shares, each of ``slots`` symbols counted once more."""
+    return (counts.sum(axis=0) + 1.0) / (counts.sum() + slots)
+
+
+def losses(counts: np.ndarray, slots: int) -> np.ndarray:
     """-log2 P(word | before) as [size, size] single floats, smoothed by the words' own shares."""
-    single = counts.sum(axis=0) + 1.0
-    single /= single.sum()
-    return -np.log2((counts + weight * single) / (counts.sum(axis=1, keepdims=True) + weight)).astype(np.float32)
+    return -np.log2((counts + WEIGHT * shares(counts, slots)) / (counts.sum(axis=1, keepdims=True) + WEIGHT)).astype(np.float32)
+
+
+class Codes(dict):
+    """Symbols of common words; of others OTHER if the vocabulary ends there, else a hash of 63 bits."""
+
+    def __init__(self, common: dict[bytes, int], bounded: bool):
+        super().__init__(common)
+        self.bounded = bounded
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = OTHER if self.bounded else xxhash.xxh64_intdigest(word) | RARE
+        return code
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Byte by byte, so that Spark's compression finds the equal ones."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unplaned(blob: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def packed(t: np.ndarray, other: np.ndarray, flags: np.ndarray) -> bytes:
+    """Rows in the order of ``t``: each word once with its number of rows, then the other columns."""
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    times = np.diff(starts, append=len(t)).astype("<u4")
+    return len(starts).to_bytes(4, "little") + planes(t[starts]) + planes(times) + planes(other) + planes(flags)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = int.from_bytes(blob[:4], "little")
+    at = 4 + 12 * m
+    n = (len(blob) - at) // 12
+    t = np.repeat(unplaned(blob[4 : 4 + 8 * m], "<u8"), unplaned(blob[4 + 8 * m : at], "<u4"))
+    return t, unplaned(blob[at : at + 8 * n], "<u8"), unplaned(blob[at + 8 * n :], "<u4")
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int = 1024) -> DataFrame:
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """The number of the run of equal keys that each place is in."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.cumsum(new)
+
+
+def rare_terms(t: np.ndarray, other: np.ndarray, good: np.ndarray, last: np.ndarray, size: int, totals: tuple[float, float], slots: int, common_shares: np.ndarray) -> np.ndarray:
+    """[2, rows]: what each row adds to the target's and the background's loss of its document.
+
+    A row is an occurrence of a word ``t`` after ``other``, or, if ``size`` <= other < 2 * size,
+    of the common word other - size after ``t``. All rows of a ``t`` are there.
+    """
+    order = np.lexsort((other, t))
+    t, other, good, last = t[order], other[order], good[order], last[order]
+    word, pair, follows = runs(t), runs(t, other), (other >= size) & (other < 2 * size)
+    out = np.empty((2, len(t)))
+    for k, mark in enumerate((good.astype(np.float64), np.ones(len(t)))):
+        of_pair = np.bincount(pair, weights=mark)[pair]
+        of_word = np.bincount(word, weights=mark * ~follows)[word]
+        before = np.bincount(word, weights=mark * (~follows & ~last))[word]
+        share = (of_word + 1.0) / (totals[k] + slots)
+        share[follows] = common_shares[k][(other[follows] - np.uint64(size)).astype(np.int64)]
+        out[k, order] = np.where(follows | last, 0.0, np.log2(before + WEIGHT)) - np.log2(of_pair + WEIGHT * share)
+    return out
+
+
+def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: int = 1024, chunk: int = 1 << 20) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs`` (doc_id, text).
 
-    ``size`` is 65,536 at most.
+    ``size`` bounds the vocabulary, with one symbol for all words beyond it; None: it has all
+    words. ``common`` (65,536 at most, as ``size``) and ``chunk``, the tokens that a task
+    handles at once, change no result.
 
     Losses are bits a token; score is their difference, lower for texts more like the target. A
     text without words (null, empty) has no tokens and null losses. Without any good row the
@@ -105,27 +189,141 @@ def score(docs: DataFrame, labels: DataFrame, size: int = 1024) -> DataFrame:
     row that any label calls good is good. Repeated rows come out, and count, as often as they
     go in.
     """
-    words = vocabulary(docs, size)
-    counts = count_pairs(docs, labels, words, size)
-    shared = docs.sparkSession.sparkContext.broadcast((words, losses(counts[1]), losses(counts[0])))
+    bounded = size is not None
+    counted = cut(count_words(docs))
+    width = size if bounded else common
+    words = vocabulary(counted, width)
+    counts = count_pairs(docs, labels, words, width)
+    slots = size if bounded else counted.count() + 2
+    totals = (float(counts[1].sum()), float(counts[0].sum()))
+    spark = docs.sparkSession
+    # Rows of one dealt part are held at once: there are more parts as there are more tokens.
+    parts = max(int(totals[1]) // 2_000_000 + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    before = np.log2(counts.sum(axis=2) + WEIGHT)[::-1]  # target first
+    shared = spark.sparkContext.broadcast((words, losses(counts[1], slots), losses(counts[0], slots), before, np.stack([shares(counts[1], slots), shares(counts[0], slots)])))
+    names, schema = ["part", "chunk", "kind", "blob"], "part int, chunk long, kind int, blob binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, target, background, context, _ = shared.value
+        codes, number = Codes(known, bounded), TaskContext.get().partitionId() << 32
+        held: list[tuple] = []  # (doc_id, good, n) of the chunk's documents
+        seen: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            ids, good, n = (list(x) for x in zip(*held))
+            n = np.array(n, dtype=np.int64)
+            code, doc = np.concatenate(seen), np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            ends = np.cumsum(n)[n > 0]
+            first, last = np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
+            first[ends - n[n > 0]] = last[ends - 1] = True
+            prev = np.concatenate([code[:1], code[:-1]])
+            prev[first] = START
+            b_common, a_common = code < width, prev < width
+            both, rare_b, rare_a = b_common & a_common, ~b_common, b_common & ~a_common
+            at = (prev[both] * np.uint64(width) + code[both]).astype(np.int64)
+            mixed = rare_b & a_common
+            base = [
+                np.bincount(doc[both], weights=table.ravel()[at], minlength=len(n)) + np.bincount(doc[mixed], weights=own[prev[mixed].astype(np.int64)], minlength=len(n))
+                for table, own in zip((target, background), context)
+            ]
+            flags = doc << np.uint32(2) | np.array(good, dtype=np.uint32)[doc] << np.uint32(1) | last
+            t = np.concatenate([code[rare_b], prev[rare_a]])
+            other = np.concatenate([prev[rare_b], code[rare_a] + np.uint64(width)])
+            flags = np.concatenate([flags[rare_b], flags[rare_a]]).astype(np.uint32)
+            order = np.argsort(t)
+            t, other, flags = t[order], other[order], flags[order]
+            # Parts are ranges of the hash, so they are in this order too.
+            part = ((t >> np.uint64(32) & np.uint64(0x7FFFFFFF)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(1, dtype=np.int64)
+            rows = [
+                (int(part[s]), number, 1, packed(t[s:e], other[s:e], flags[s:e]))
+                for s, e in zip(edges, edges[1:])
+            ]
+            null = np.array([i is None for i in ids], dtype=np.uint8)
+            whole = [np.array([i or 0 for i in ids], dtype=np.int64), n, *base]
+            rows.append((number % parts, number, 0, b"".join(x.tobytes() for x in whole) + null.tobytes()))
+            return told(rows)
+
+        tokens = 0
+        for batch in batches:
+            for doc_id, good, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                own = words_of(text)
+                seen.append(np.fromiter(map(codes.__getitem__, own), dtype=np.uint64, count=len(own)))
+                held.append((doc_id, good or 0, len(own)))
+                tokens += len(own)
+                if tokens >= chunk or len(held) >= chunk:
+                    yield close()
+                    number, tokens = number + 1, 0
+                    held.clear(), seen.clear()
+                if len(codes) > 500_000:
+                    codes = Codes(known, bounded)
+        if held:
+            yield close()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_shares = shared.value[4]
+
+        def close(part: int, held: list[tuple]) -> pa.RecordBatch:
+            cols = [unpacked(blob) for _, blob in held]
+            size_of = [len(c[0]) for c in cols]
+            t, other, flags = (np.concatenate(c) for c in zip(*cols))
+            terms = rare_terms(t, other, flags >> 1 & 1, (flags & 1).astype(bool), width, totals, slots, common_shares)
+            rows, s = [], 0
+            for (number, _), n in zip(held, size_of):
+                doc = flags[s : s + n] >> np.uint32(2)
+                there, slot = np.unique(doc, return_inverse=True)
+                sums = [np.bincount(slot, weights=x[s : s + n]).astype(np.float32) for x in terms]
+                rows.append((part, number, 1, planes(there.astype(np.uint32)) + sums[0].tobytes() + sums[1].tobytes()))
+                s += n
+            return told(rows)
+
+        current, held = None, []
         for batch in batches:
-            known, target, background = shared.value
-            rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                own = pairs(symbols(words_of(text), known), size)
-                if len(own):
-                    a, b = float(target.ravel()[own].mean(dtype=np.float64)), float(background.ravel()[own].mean(dtype=np.float64))
-                    rows.append((len(own), a, b, a - b))
+            for part, number, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and part != current:
+                    yield close(current, held)
+                    held = []
+                current = part
+                if kind:
+                    held.append((number, blob))
                 else:
-                    rows.append((0, None, None, None))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(columns[0]), pa.int64()), *(pa.array(list(c), pa.float64()) for c in columns[1:])],
+                    yield told([(part, number, 0, blob)])
+        if held:
+            yield close(current, held)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(whole: bytes, sums: np.ndarray) -> pa.RecordBatch:
+            n = len(whole) // 33
+            ids, tokens = np.frombuffer(whole[: 8 * n], "<i8"), np.frombuffer(whole[8 * n : 16 * n], "<i8")
+            base, null = np.frombuffer(whole[16 * n : 32 * n], "<f8").reshape(2, n), np.frombuffer(whole[32 * n :], np.uint8).astype(bool)
+            none = tokens == 0
+            a, b = (base + sums) / np.maximum(tokens, 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=null), pa.array(tokens), *(pa.array(x, mask=none) for x in (a, b, a - b))],
                 names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+        # A chunk's own row comes first (kind 0).
+        current, whole, sums = None, b"", np.zeros((2, 0))
+        for batch in batches:
+            for _, number, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != current:
+                    if current is not None:
+                        yield close(whole, sums)
+                    current, whole, sums = number, blob, np.zeros((2, len(blob) // 33))
+                if kind:
+                    n = len(blob) // 12
+                    doc = unplaned(blob[: 4 * n], "<u4")
+                    sums[:, doc] += np.frombuffer(blob[4 * n :], "<f4").reshape(2, n)
+        if current is not None:
+            yield close(whole, sums)
+
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good_rows(labels).hint("merge"), "doc_id", "left").select("doc_id", "good", "text")
+    dealt = marked.mapInArrow(deal, schema).repartition("part").sortWithinPartitions("part").mapInArrow(weigh, schema)
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(
+        gather, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -50,3 +51,19 @@ def test_good_rows_score_lower(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     means = {r.quality: r.m for r in lm.score(docs, labels).join(labels, "doc_id").groupBy("quality").avg("score").withColumnRenamed("avg(score)", "m").collect()}
     assert means[1] < means[0]
+
+
+def test_every_word_counts(spark, docs_of):
+    """More words than any fixed vocabulary of 1,024; most documents have some of their own."""
+    rng = random.Random(3)
+    rows = [(d, " ".join(["the", "of", *(f"w{rng.randrange(1 << rng.randint(1, 14))}" for _ in range(90)), "the", f"own{d}"])) for d in range(60)]
+    rows += [(90, "the of solo"), (91, "the of w1"), (92, "solo"), (92, "solo"), (93, None), (None, "tail tail tail")]
+    marks = [(d, d % 3 == 0) for d in range(95)]
+    labels = spark.createDataFrame([(d, int(q)) for d, q in marks], "doc_id long, quality int")
+    size = len({w for _, t in rows for w in (t or "").split()}) + 2
+    assert size > 1100
+    want = sorted(brute(rows, marks, size), key=str)
+    for given in ({}, {"common": 8, "chunk": 500}):
+        found = sorted(map(tuple, lm.score(docs_of(rows, extra=True), labels, **given).collect()), key=str)
+        assert [f[:2] for f in found] == [w[:2] for w in want]
+        assert all(w[2] is None and f[2] is None or abs(f[2] - w[2]) < 1e-4 and abs(f[3] - w[3]) < 1e-4 for f, w in zip(found, want))

@@ -41,7 +41,7 @@ _NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERNS = [
     ("email", r"(?<![\w.%+-])[\w.%+-]*[\w%+-]@(?:[\w-]+\.)+[A-Za-z]{2,}"),
-    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<secret>[A-Za-z0-9_+/.-]{8,}[A-Za-z0-9_+/-])|\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})\b"),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<secret>(?=[_+/.-]*[A-Za-z0-9])[A-Za-z0-9_+/.-]{8,}[A-Za-z0-9_+/-])|\b(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})\b"),
     ("iban", rf"\b(?:{'|'.join(COUNTRIES.split())})\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b"),
     ("ip", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
     ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
@@ -151,18 +151,26 @@ class Draw:
 
 
 def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
-    """The replacement in the entity's plain form (see ``worn`` for a mention's own form)."""
+    """The replacement in the entity's plain form (see ``worn`` for a mention's own form).
+
+    Later attempts draw from ever more values: longer local parts, secrets and names, and, after
+    many, a tail of digits on what has a fixed shape. So no set of entities is too large.
+    """
     draw = Draw(key, kind, entity, attempt)
+    if attempt >= 40 and kind in ("ip", "card", "iban", "phone", "ssn"):
+        tail = "".join(draw.pick("0123456789") for _ in range(attempt // 4 - 8))
+        return surrogate(key, kind, entity, attempt % 40) + ("" if kind in ("card", "iban", "phone") else "-") + tail
+    more = "".join(draw.pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(attempt // 4))
     if kind == "email":
         local, domain = entity.rsplit("@", 1)
         labels = domain.split(".")
         # A domain's replacement depends on the domain alone, so colleagues stay colleagues.
         house = Draw(key, "domain", domain, 0)
-        return draw.like(local) + "@" + ".".join([*(house.like(x) for x in labels[:-1]), labels[-1]])
+        return draw.like(local) + more + "@" + ".".join([*(house.like(x) for x in labels[:-1]), labels[-1]])
     if kind == "secret":
         fixed = entity[:4] if entity[:4] in ("AKIA", "ASIA") else ""
         rest = entity[len(fixed) :]
-        return fixed + ("".join(draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in rest) if fixed else draw.like(rest))
+        return fixed + ("".join(draw.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in rest) if fixed else draw.like(rest)) + more
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
@@ -180,7 +188,7 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
     if role == "given":
         names = GIVEN[shape[0], shape[1]]
         # The list first; later tries are double names, so that it never runs out.
-        return draw.pick(names) if attempt < 4 else "-".join(draw.pick(names) for _ in range(2 + attempt // 40))
+        return draw.pick(names) if attempt < 4 else "-".join(draw.pick(names) for _ in range(2 + attempt // 8))
     made = "".join(draw.pick(SYLLABLES[shape[0]]) for _ in range(3 + attempt // 8))
     return made.upper() if entity.isupper() else made.capitalize()
 
@@ -189,18 +197,19 @@ def worn(kind: str, mention: str, plain: str) -> str:
     """``plain`` with the separators and the case of ``mention``."""
     if kind in ("card", "phone", "iban"):
         rest = iter(plain)
-        return "".join(next(rest) if c.isalnum() or c == "+" else c for c in mention)
+        return "".join([*(next(rest) if c.isalnum() or c == "+" else c for c in mention), *rest])
     if kind == "email":
         return plain.upper() if mention.isupper() else plain
     return plain
 
 
-def assign(found: DataFrame, key: str = KEY, max_rounds: int = 200) -> DataFrame:
+def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, entity, plain): a replacement for each distinct entity of ``found`` (kind, entity).
 
     Each round, of those of a kind that drew the same replacement the one with the least entity
     keeps it, and of those that drew an existing entity none does; the others draw again. Only
-    pairs of strings move; no group of them is gathered.
+    pairs of strings move; no group of them is gathered. The values to draw from grow with the
+    attempts (see ``surrogate``), so the rounds end for any entities.
     """
 
     def drawn(df: DataFrame) -> DataFrame:
@@ -215,7 +224,7 @@ def assign(found: DataFrame, key: str = KEY, max_rounds: int = 200) -> DataFrame
     known = cut(found.select("kind", "entity").distinct())
     taken = known.select("kind", F.col("entity").alias("plain"))
     current = cut(drawn(known.withColumn("attempt", F.lit(0))))
-    for _ in range(max_rounds):
+    while True:
         # Whoever drew something first (a lower attempt) keeps it.
         first = current.groupBy("kind", "plain").agg(F.min(F.struct("attempt", "entity")).alias("keeper"), F.count(F.lit(1)).alias("n"))
         shared = first.where("n > 1").drop("n").unionByName(
@@ -226,7 +235,6 @@ def assign(found: DataFrame, key: str = KEY, max_rounds: int = 200) -> DataFrame
         if losers.isEmpty():
             return current.select("kind", "entity", "plain")
         current = cut(current.join(losers, ["kind", "entity"], "left_anti").unionByName(drawn(losers)))
-    raise RuntimeError(f"replacements still clash after {max_rounds} rounds")
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -53,3 +53,17 @@ def test_replace_whole_rows(docs_of):
     assert f"host {ip}." in by[1].text and f"Mail {mail} or {mail.upper()}." in by[1].text
     assert by[None].text.startswith("x x ") and "1.2.3.4" not in by[None].text
     assert pii.replace(docs_of([])).collect() == []
+
+
+def test_every_entity_settles(spark):
+    """What has no letter or digit, or fewer values of its own shape than entities, gets a replacement too."""
+    assert pii.entities("Password: __________ token = ----------") == []
+    assert [e for *_, e in pii.entities("Password: ________a1")] == ["________a1"]
+    rows = [("secret", "__________"), ("email", "_@x.io"), *(("email", f"{c}@x.io") for c in "abcdefghijklmnopqrstuvwxyz"), *(("secret", f"_________{k}") for k in range(10))]
+    found = pii.assign(spark.createDataFrame(rows, "kind string, entity string")).collect()
+    assert len(found) == len(rows) == len({(r.kind, r.plain) for r in found})
+    assert not {r.plain for r in found} & {e for _, e in rows}
+    for kind, entity in (("ssn", "123-45-6789"), ("ip", "1.2.3.4"), ("phone", "+14995556503"), ("card", "4871316720949013"), ("iban", "DE89370400440532013000")):
+        near, far = (pii.surrogate("k", kind, entity, k) for k in (39, 60))
+        assert len(far) > len(near) == len(pii.surrogate("k", kind, entity, 0)) or kind == "ip" and far != near
+    assert pii.worn("phone", "+1 (499) 555", "+14995550") == "+1 (499) 5550"

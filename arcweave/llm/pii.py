@@ -3,7 +3,9 @@
 Entities are found in whole texts; each distinct one gets a replacement drawn from a keyed hash
 of itself, of the same kind and shape: digits for digits, letters for letters in their case and
 script, valid check digits, a name's gender and script. The same entity is replaced the same way
-everywhere. Replacements are checked over the whole corpus: two entities of a kind never share
+everywhere. Names are found after a title, by a known given name before another name, or by a
+family name before an honorific; then each bare mention of a name that was found in a document is
+looked for in it. Names without any of these stay: no list of names is complete. Replacements are checked over the whole corpus: two entities of a kind never share
 one, and none equals an entity that occurs; whoever loses such a clash draws again.
 """
 
@@ -28,15 +30,56 @@ GIVEN = {
     ("m", "latin"): "Alexander Anthony Benjamin Christopher Edward Ferdinand Frederick Guillermo Harrison Jonathan Leonard Maximilian Nicholas Patrick Raymond Sebastian Theodore Vincent William Zachary".split(),
     ("f", "cyrillic"): "Анастасия Валентина Екатерина Людмила Маргарита Надежда Светлана Татьяна".split(),
     ("m", "cyrillic"): "Александр Владимир Дмитрий Константин Михаил Николай Станислав Тимофей".split(),
+    ("f", "greek"): "Αλεξάνδρα Βασιλική Δήμητρα Ευαγγελία Θεοδώρα Καλλιόπη Παρασκευή Στυλιανή".split(),
+    ("m", "greek"): "Αθανάσιος Βασίλειος Γρηγόριος Ευάγγελος Θεόδωρος Λεωνίδας Παναγιώτης Στυλιανός".split(),
+    ("f", "arabic"): "أسماء بثينة جميلة رقية سلمى عفاف نادية وداد".split(),
+    ("m", "arabic"): "بدر جابر رشيد سليم طلال عدنان فيصل منذر".split(),
+    ("f", "cjk"): "美玲 雅婷 淑芬 佳慧 静怡 丽娟 秀英 晓燕".split(),
+    ("m", "cjk"): "志明 建国 俊杰 家豪 国强 文斌 宏伟 永康".split(),
 }
 SYLLABLES = {
     "latin": "ber car den far gal hol kem lin mar nor pel quin ros stan tor ul ver wes yor zan".split(),
     "cyrillic": "бер вол гор дам зор кар лен мир нов пет рос сок тим фед хар шев".split(),
+    "greek": "βερ γαλ δαμ ζορ καρ λεν μιρ νικ παπ ρος σταμ τιμ φωτ χαρ".split(),
+    "arabic": "بدر جبر حمد رشد سلم طلع عدن فهد قسم منذ نصر وهب".split(),
+    "cjk": "欧阳 上官 司马 东方 诸葛 尉迟 公孙 慕容 令狐 宇文 长孙 夏侯".split(),
+}
+# For finding only, apart from what replaces: given names, titles, and family names that stand before an honorific.
+KNOWN = {
+    "f": (
+        "Abigail Adriana Agnes Aisha Alexandra Alicia Alison Amanda Amy Ana Andrea Angela Anita Anna Anne Annette Antonia Astrid Beatrice Beatriz Bettina Birgit Brenda Brigitte Camille Carla Carmen Carol Carolina Caroline Catherine Cecilia Chantal Chiara Chloe Christina Claire Clara Claudia Cynthia Daniela Deborah Debra Denise Diana Donna Dorothy Edith Elena Elisa Elisabeth Emily Emma Erika Esther Eva Evelyn Fatima Fiona Frida Gabriele Gertrud Gisela Giulia Gloria Greta Hanna Heather Heidi Heike Helen Helena Helga Ingrid Irene Irina Isabel Jacqueline Jana Jane Janet Janice Jean Jennifer Jessica Joan Joanna Josefina Joyce Juana Judith Julia Julie Jutta Karen Karin Katarzyna Kathleen Katherine Katja Kelly Kimberly Kristin Laura Lauren Leila Leticia Linda Lisa Lucia Lucy Luisa Magdalena Marcela Margarita Maria María Marie Marina Marion Marta Martha Martina Mary Megan Melanie Melissa Michelle Monica Monika Monique Nancy Natalia Natalie Nathalie Nicole Nina Noor Olga Olivia Pamela Paola Paula Pauline Petra Rachel Raquel Renate Rita Roberta Rosa Ruth Sabine Samantha Sandra Sara Sarah Sharon Shirley Silvia Simone Sofia Sonia Sophie Stefanie Stephanie Susan Sylvia Tamara Tanja Teresa Theresa Ursula Ute Valentina Valerie Vanessa Wendy Yolanda Yvonne Zainab Zoe "
+        "Александра Алина Алла Анна Валерия Вера Галина Дарья Евгения Елена Елизавета Зинаида Инна Ирина Кристина Ксения Лариса Любовь Марина Мария Наталья Нина Оксана Ольга Полина Раиса София Тамара Юлия Яна "
+        "Άννα Αγγελική Αικατερίνη Αναστασία Γεωργία Ειρήνη Ελένη Ελευθερία Ιωάννα Κατερίνα Κωνσταντίνα Μαρία Παναγιώτα Σοφία Χριστίνα فاطمة عائشة خديجة زينب مريم ليلى سارة هدى أمينة نورة سميرة"
+    ),
+    "m": (
+        "Aaron Adam Adrian Ahmed Alan Albert Alberto Alejandro Alessandro Alexandre Alfred Ali Álvaro Andreas Andrew André Antoine Antonio Arnold Arthur Bernard Bernd Bernhard Brandon Brian Bruno Bryan Carl Carlos Charles Christoph Claude Daniel David Dennis Diego Dieter Dietmar Dirk Dmitri Donald Douglas Eduardo Emil Emmanuel Enrique Eric Erik Ernst Eugene Fabian Felipe Felix Fernando Francesco Francisco François Franz Friedrich Gary Georg George Gerald Gerhard Giovanni Giuseppe Gregory Guido Günter Günther Gustav Hans Harald Harold Hassan Heinrich Heinz Helmut Henri Henry Herbert Hermann Hugo Ian Ibrahim Igor Ivan Jacob Jacques Jakob James Jan Javier Jean-Pierre Jeffrey Jens Jeremy Jerome Jesús Joachim Johann Johannes John Jonas Jorge José Jose Josef Joseph Joshua Juan Julian Jürgen Justin Kai Karl Keith Kenneth Kevin Klaus Kurt Larry Lars Laurent Lawrence Louis Luca Lucas Ludwig Luigi Luis Lukas Magnus Manfred Manuel Marc Marcel Marco Marcus Mario Markus Martin Mateo Matteo Matthew Matthias Maurice Michael Michel Miguel Mohamed Mohammed Mohammad Moritz Muhammad Mustafa Nathan Niels Nikolai Norbert Olaf Oliver Omar Oscar Otto Pablo Paolo Pascal Paul Pedro Peter Philip Philipp Philippe Pierre Rafael Rainer Ralf Ralph Ramón Raúl Reinhard René Ricardo Richard Robert Roberto Rodrigo Roger Roland Rolf Ronald Rudolf Russell Ryan Salvatore Samuel Sandro Scott Sean Sergei Sergio Simon Stefan Stefano Stephen Steven Sven Terry Thomas Thorsten Timothy Tobias Todd Tomás Torsten Udo Ulrich Uwe Victor Viktor Vladimir Walter Werner Wilhelm Wolfgang Xavier Yusuf Yves "
+        "Алексей Анатолий Андрей Антон Аркадий Артём Борис Вадим Валентин Валерий Василий Виктор Виталий Вячеслав Геннадий Георгий Григорий Даниил Денис Евгений Егор Иван Игорь Илья Кирилл Леонид Максим Никита Олег Павел Пётр Роман Руслан Семён Сергей Степан Фёдор Юрий Ярослав "
+        "Αλέξανδρος Ανδρέας Αντώνης Απόστολος Γεώργιος Γιάννης Γιώργος Δημήτρης Δημήτριος Ηλίας Ιωάννης Κωνσταντίνος Κώστας Μιχάλης Νικόλαος Νίκος Παύλος Πέτρος Σπύρος Χρήστος محمد أحمد علي حسن حسين عمر خالد يوسف إبراهيم محمود مصطفى عبدالله سعيد كريم طارق"
+    ),
+}
+HAN = "欧阳 司马 上官 诸葛 王 李 张 張 刘 劉 陈 陳 杨 楊 赵 趙 黄 黃 周 吴 吳 徐 孙 孫 胡 朱 高 林 何 郭 马 馬 罗 羅 梁 宋 郑 鄭 谢 謝 韩 韓 唐 冯 馮 于 董 萧 蕭 程 曹 袁 邓 鄧 许 許 傅 沈 曾 彭 吕 呂 苏 蘇 卢 盧 蒋 蔣 蔡 贾 賈 丁 魏 薛 叶 葉 阎 余 潘 杜 戴 夏 钟 鍾 汪 田 任 姜 范 方 石 姚 谭 譚 廖 邹 鄒 熊 金 陆 陸 郝 孔 白 崔 康 毛 邱 秦 江 史 顾 顧 侯 邵 孟 龙 龍 万 萬 段 雷 钱 錢 汤 湯 尹 黎 易 常 武 乔 喬 贺 賀 赖 賴 龚 龔 文".split()
+HONORIFICS = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "夫人": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f"} | {
+    **dict.fromkeys("Sir Lord Monsignor Signor Sig Don Senhor Meneer Pan Sr Brother Father Κύριος Κος السيد الأستاذ".split(), "m"),
+    **dict.fromkeys("Lady Dame Madam Mademoiselle Mme Mlle Signora Signorina Doña Senhora Mevrouw Fräulein Pani Sra Κυρία Κα السيدة الآنسة".split(), "f"),
+    **dict.fromkeys("Dr Doctor Doktor Prof Professor Professeur Mx Rev Reverend Judge Senator Доктор Профессор Δρ Καθηγητής الدكتور الدكتورة".split(), "n"),
 }
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f"}
 COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE"
 
-_GENDER = {name: g for (g, _), names in GIVEN.items() for name in names}
+_GENDER = {name: g for (g, script), names in GIVEN.items() if script != "cjk" for name in names} | {name: g for g, names in KNOWN.items() for name in names.split()}
+
+
+def _any(words) -> str:
+    """A pattern of any of ``words``, as a trie: its time doesn't grow with their number."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    some = [re.escape(c) + (_any(rest) if rest != [""] else "") for c, rest in sorted(heads.items()) if c]
+    return (f"(?:{'|'.join(some)})" + "?" * ("" in heads)) if len(some) > 1 or "" in heads else some[0]
+
+
+_TITLE, _KNOWN = _any(TITLES), _any(_GENDER)
+_HONORED = rf"(?:{'|'.join(HAN)})[\u4e00-\u9fff]{{0,2}}?(?:{'|'.join(HONORIFICS)})"
 _NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERNS = [
@@ -47,12 +90,13 @@ _PATTERNS = [
     ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])"),
-    ("title", rf"\b(?P<title>{'|'.join(TITLES)})\.? (?P<names>{_NAME}(?: {_NAME})?)"),
-    ("name", rf"\b(?P<given>{'|'.join(_GENDER)}) (?P<family>{_NAME})"),
+    ("title", rf"\b(?P<title>{_TITLE})\b\.?(?: {_TITLE}\b\.?)* (?P<names>{_NAME}(?: {_NAME})?)"),
+    ("name", rf"\b(?P<given>{_KNOWN}) (?P<family>{_NAME})"),
+    ("honored", _HONORED),
 ]
 _ENTITY = re.compile("|".join(f"(?P<k_{kind}>{pattern})" for kind, pattern in _PATTERNS))
 #: No entity lacks all of these.
-_HINT = re.compile(rf"[0-9@]|[=:]|\b(?:{'|'.join([*TITLES, *_GENDER])})\b")
+_HINT = re.compile(rf"[0-9@]|[=:]|\b{_any([*TITLES, *_GENDER])}\b|{'|'.join(HONORIFICS)}")
 
 
 def luhn(digits: str) -> bool:
@@ -69,7 +113,35 @@ def iban_rest(text: str) -> int:
 
 
 def script_of(name: str) -> str:
-    return "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
+    for script, letters in (("cyrillic", "[Ѐ-ӿ]"), ("greek", "[Ͱ-Ͽἀ-῿]"), ("arabic", "[\u0600-\u06ff]"), ("cjk", "[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")):
+        if re.search(letters, name):
+            return script
+    return "latin"
+
+
+def _bare(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` and the other mentions of its names, whole words as they are or in capitals."""
+    names: dict[str, tuple[str, str]] = {}
+    # A name is worn as the family name it was found as, else as the given name.
+    for _, _, kind, entity in sorted((m for m in found if m[2].startswith(("given", "family"))), key=lambda m: (m[2][0] != "f", m[0])):
+        if len(entity) > 1:
+            names.setdefault(entity, (kind, entity))
+    for entity, told in list(names.items()):
+        names.setdefault(entity.upper(), told)
+    if not names:
+        return found
+    # Words of scripts without spaces have no ends to look for.
+    free = [n for n in names if script_of(n) == "cjk"]
+    whole = [n for n in names if script_of(n) != "cjk"]
+    looked = re.compile("|".join([*([rf"(?<!\w){_any(whole)}(?!\w)"] if whole else []), *map(re.escape, sorted(free, key=len, reverse=True))]))
+    out, k = [], 0
+    for x in looked.finditer(text):
+        while k < len(found) and found[k][1] <= x.start():
+            out.append(found[k])
+            k += 1
+        if k == len(found) or x.end() <= found[k][0]:
+            out.append((x.start(), x.end(), *names[x.group()]))
+    return out + found[k:]
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -95,6 +167,13 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind == "phone":
             digits = re.sub(r"\D", "", m.group())
             own = [(s, e, "phone", ("+" if m.group()[0] == "+" else "") + digits)] if 8 <= len(digits) <= 15 else []
+        elif kind == "honored":
+            title = m.group()[-2:]
+            plain = m.group()[:-2]
+            family = next(h for h in HAN if plain.startswith(h))
+            own = [(s, s + len(family), "family-cjk", family)]
+            if plain != family:
+                own.append((s + len(family), e - 2, f"given-{HONORIFICS[title]}-cjk", plain[len(family) :]))
         elif kind in ("title", "name"):
             if kind == "title":
                 b, parts, gender = m.start("names"), m.group("names").split(" "), TITLES[m.group("title")]
@@ -108,7 +187,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             own = [(s, e, kind, m.group().lower() if kind == "email" else m.group())]
         out += own
         at = own[-1][1] if own else s + max(1, len(m.group()) if kind not in ("card", "phone", "iban") else 1)
-    return out
+    return _bare(text, out)
 
 
 class Draw:
@@ -186,7 +265,8 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
         return f"{1 + draw.below(665):03d}-{1 + draw.below(99):02d}-{1 + draw.below(9999):04d}"
     role, *shape = kind.split("-")
     if role == "given":
-        names = GIVEN[shape[0], shape[1]]
+        # A title without a gender leaves the name's open.
+        names = [n for g in ("fm" if shape[0] == "n" else shape[0]) for n in GIVEN[g, shape[1]]]
         # The list first; later tries are double names, so that it never runs out.
         return draw.pick(names) if attempt < 4 else "-".join(draw.pick(names) for _ in range(2 + attempt // 8))
     made = "".join(draw.pick(SYLLABLES[shape[0]]) for _ in range(3 + attempt // 8))
@@ -198,7 +278,7 @@ def worn(kind: str, mention: str, plain: str) -> str:
     if kind in ("card", "phone", "iban"):
         rest = iter(plain)
         return "".join([*(next(rest) if c.isalnum() or c == "+" else c for c in mention), *rest])
-    if kind == "email":
+    if kind == "email" or kind.startswith(("given", "family")) and len(mention) > 1:
         return plain.upper() if mention.isupper() else plain
     return plain
 

@@ -67,3 +67,18 @@ def test_every_entity_settles(spark):
         near, far = (pii.surrogate("k", kind, entity, k) for k in (39, 60))
         assert len(far) > len(near) == len(pii.surrogate("k", kind, entity, 0)) or kind == "ip" and far != near
     assert pii.worn("phone", "+1 (499) 555", "+14995550") == "+1 (499) 5550"
+
+
+def test_names_and_their_bare_mentions(docs_of):
+    text = "Mrs Hannah Berger called. Berger said that BERGER and Hannah left; Bergerac stayed. John Smith met Prof. Dr. Peter Weber, Lady Mary Jones and Sir Elton. Smith knew Weber, Peter and Elton."
+    other = "Κύριος Παπαδόπουλος και Ελένη Νικολάου; ο Παπαδόπουλος. السيد محمد القاسمي قال. القاسمي 王伟先生和李女士说王伟。"
+    got = {r.doc_id: r.text for r in pii.replace(docs_of([(1, text), (2, other), (3, "Elton and Smith and Berger")])).collect()}
+    for name in ("Hannah", "Berger ", "BERGER", "John", "Smith", "Peter", "Weber", "Mary", "Jones", "Elton"):
+        assert name not in got[1]
+    words = got[1].replace(",", "").replace(";", "").replace(".", "").split()
+    given, family = words[1], words[2]
+    assert words[4] == family and words[7] == family.upper() and words[9] == given and "Bergerac" in words
+    for name in ("Παπαδόπουλος", "Ελένη", "Νικολάου", "محمد", "القاسمي", "王伟先", "李女"):
+        assert name not in got[2]
+    assert got[2].split()[1] + "." == got[2].split()[6] and "先生和" in got[2]
+    assert got[3] == "Elton and Smith and Berger"  # nothing in this document makes names of them

@@ -40,3 +40,26 @@ def closure(edges: DataFrame, starts: DataFrame, least: int = 0, most: int | Non
     for part in out[1:]:
         whole = whole.unionByName(part)
     return whole.distinct()
+
+
+def closure_of_successors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distinct (start, end) with ``end`` in any number of steps, where each src has one dst at most.
+
+    Path doubling: round k adds what lies 2**k steps on, so rounds grow with the logarithm of the
+    longest path, and no depth is too large. Both tables stay as long as edges and result.
+    """
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    jump = cut(edges)
+    if not jump.groupBy("src").count().where("count > 1").isEmpty():
+        raise ValueError("a node has more than one successor")
+    reached = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("end", F.col("start")))
+    size = reached.count()
+    while True:
+        far = reached.join(jump, reached.end == jump.src).select("start", F.col("dst").alias("end"))
+        reached = cut(reached.unionByName(far).distinct())
+        now = reached.count()
+        if now == size:
+            return reached
+        size = now
+        on = jump.select(F.col("src").alias("dst"), F.col("dst").alias("on"))
+        jump = cut(jump.join(on, "dst").select("src", F.col("on").alias("dst")))

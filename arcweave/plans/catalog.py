@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import scalars as S
 from arcweave.operators import slicer, timetravel, vector, views, writes
-from arcweave.operators.recursion import closure
+from arcweave.operators.recursion import closure, closure_of_successors
 from arcweave.operators.slicer import Pipeline
 from arcweave.plans.compiler import run
 from arcweave.sources import export
 from arcweave.sources.graph import Edge, snapshot
-from arcweave.sources.tables import graph, ident, read, user_log
+from arcweave.sources.tables import cycle, graph, ident, read, user_log
 from arcweave.streaming.feed import changes_since
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,6 +260,15 @@ def closure_cyclic(spark, d):
     return closure(ring.select(F.col("parent").alias("src"), F.col("child").alias("dst")), starts, 0, 64)
 
 
+_CYCLE = "(SELECT 'part:' || p_partkey AS src, 'part:' || ((p_partkey * 7 + 3) % (SELECT count(*) FROM part)) AS dst FROM part)"
+
+
+@query("closure_cyclic_all", f"WITH RECURSIVE r AS (SELECT s AS start, s AS \"end\" FROM (VALUES ('part:1'), ('part:2'), ('part:10')) v(s) UNION SELECT r.start, e.dst FROM r JOIN {_CYCLE} e ON e.src = r.\"end\") SELECT * FROM r")
+def closure_cyclic_all(spark, d):
+    starts = spark.range(1).select(F.explode(F.array(*[F.lit(f"part:{k}") for k in (1, 2, 10)])).alias("start"))
+    return closure_of_successors(cycle(spark, d), starts)
+
+
 def _incidence(spark, d, kind):
     e = graph(spark, d).edges[kind]
     return Edge(e.df.withColumn("edge_id", F.concat_ws("|", *e.roles)), e.roles).incidence()

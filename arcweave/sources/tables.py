@@ -62,3 +62,10 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         ident("user", "user_id").alias("id"), (F.col("event_id") + 1).alias("tx"), (F.col("event_type") == "error").alias("is_tombstone"), F.col("value"), F.col("event_type").alias("kind")
     )
+
+
+def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): k -> (k * 7 + 3) mod N over all N parts."""
+    parts = read(spark, sf_dir, "part").select("p_partkey")
+    n = parts.agg(F.count(F.lit(1)).alias("n"))
+    return parts.crossJoin(F.broadcast(n)).select(ident("part", "p_partkey").alias("src"), F.concat(F.lit("part:"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).cast("string")).alias("dst"))

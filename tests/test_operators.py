@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import scalars as S
 from arcweave.operators import slicer, timetravel, vector, views
+from arcweave.operators.recursion import closure_of_successors
 from arcweave.operators.slicer import Pipeline
 from arcweave.sources import export
 from arcweave.sources.graph import Edge, snapshot
@@ -90,3 +91,18 @@ def test_change_feed_stream(spark, tmp_path):
     assert go() == [("b", 2), ("c", 3)]
     spark.createDataFrame([("d", 4, False)], log.schema).write.mode("append").parquet(str(tmp_path / "log"))
     assert go() == [("b", 2), ("c", 3), ("d", 4)]
+
+
+def test_closure_goes_through_the_whole_cycle(spark):
+    edges = spark.createDataFrame([(str(k), str((k * 7 + 3) % 20000)) for k in range(20000)] + [("a", "b"), ("b", None)], "src string, dst string")
+    starts = spark.createDataFrame([("1",), ("2",), ("a",), ("z",)], "s string")
+    want, at = {("a", "a"), ("a", "b"), ("z", "z")}, 0
+    for s in (1, 2):
+        at = s
+        while (str(s), str(at)) not in want:
+            want.add((str(s), str(at)))
+            at = (at * 7 + 3) % 20000
+    assert len(want) > 2 * 64  # further than the steps of the language's recursion
+    assert sorted(map(tuple, closure_of_successors(edges, starts).collect())) == sorted(want)
+    with pytest.raises(ValueError):
+        closure_of_successors(edges.unionByName(edges.limit(1).withColumn("dst", F.lit("q"))), starts)

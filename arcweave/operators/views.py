@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcweave.functions.scalars import contains_ci, display, type_hint
+from arcweave.sources.lineage import cut
 
 
 def degrees(incidence: DataFrame) -> DataFrame:
@@ -133,3 +134,29 @@ def interval_self_join(mains: DataFrame, others: DataFrame, keys: list[str], tim
 def override(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Rows of ``first``, and of ``second`` where the key isn't in it."""
     return first.unionByName(second.join(first.select(key), key, "left_anti").select(*first.columns))
+
+
+def nearest(left: DataFrame, right: DataFrame, x: str, y: str, key: str) -> DataFrame:
+    """``left`` with the ``key`` of the ``right`` row whose ``y`` is nearest to ``x`` (ties: the least key).
+
+    Distinct values of both are put in order over range partitions, in each of which every value
+    sees the nearest right values below and above; the ends of the partitions, a row each, carry
+    them on. Null values have no nearest and null keys aren't any; no right rows give null keys.
+    """
+    own = right.where(f"{y} IS NOT NULL AND {key} IS NOT NULL").groupBy(F.col(y).alias("_v")).agg(F.min(key).alias("_k"))
+    values = left.select(F.col(x).alias("_v")).where("_v IS NOT NULL").distinct().withColumn("_k", F.lit(None).cast(right.schema[key].dataType))
+    both = own.unionByName(values).groupBy("_v").agg(F.min("_k").alias("_k"))
+    both = cut(both.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    one = F.when(F.col("_k").isNotNull(), F.struct("_v", "_k"))
+    ends = both.groupBy("_p").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    low, high = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("_p", F.last("hi", True).over(low).alias("_below"), F.first("lo", True).over(high).alias("_above"))
+    here = Window.partitionBy("_p").orderBy("_v")
+    seen = both.join(F.broadcast(ends), "_p").select(
+        "_v",
+        F.coalesce(F.last(one, True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "_below").alias("b"),
+        F.coalesce(F.first(one, True).over(here.rowsBetween(0, Window.unboundedFollowing)), "_above").alias("a"),
+    )
+    ranked = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}._v")).alias("d"), F.col(f"{c}._k").alias("k"))) for c in "ba"]
+    found = seen.select("_v", F.least(*ranked)["k"].alias(key))
+    return left.join(found, left[x] == found["_v"], "left").select(*left.columns, key)

@@ -455,6 +455,12 @@ def nearest_assignment(spark, d):
     return n.crossJoin(F.broadcast(r)).groupBy("n_nationkey").agg(F.min_by("r_regionkey", F.abs(F.col("n_nationkey") - 5 * F.col("r_regionkey")) * 100 + F.col("r_regionkey")).alias("nearest"))
 
 
+@query("nearest_supplier", "SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS nearest FROM (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS d FROM customer, supplier) GROUP BY 1")
+def nearest_supplier(spark, d):
+    c, s = read(spark, d, "customer").select("c_custkey", "c_acctbal"), read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return views.nearest(c, s, "c_acctbal", "s_acctbal", "s_suppkey").select("c_custkey", F.col("s_suppkey").alias("nearest"))
+
+
 @query("ordered_list_agg", "SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice, o_orderkey) AS orders FROM orders GROUP BY 1")
 def ordered_list_agg(spark, d):
     listed = F.sort_array(F.collect_list(F.struct("o_totalprice", "o_orderkey")))

@@ -93,6 +93,14 @@ def test_change_feed_stream(spark, tmp_path):
     assert go() == [("b", 2), ("c", 3), ("d", 4)]
 
 
+def test_nearest_over_whole_tables(spark):
+    left = spark.createDataFrame([(k, float(v)) for k, v in enumerate([-5, 0, 1, 2.5, 4, 4, 99])] + [(50, None)], "c int, x double")
+    right = spark.createDataFrame([(7, 0.0), (3, 0.0), (9, 2.0), (8, 3.0), (5, 50.0), (None, 1.0), (1, None)], "k int, y double")
+    found = {r.c: r.k for r in views.nearest(left, right, "x", "y", "k").collect()}
+    assert found == {0: 3, 1: 3, 2: 3, 3: 8, 4: 8, 5: 8, 6: 5, 50: None}
+    assert {r.k for r in views.nearest(left, right.limit(0), "x", "y", "k").collect()} == {None}
+
+
 def test_closure_goes_through_the_whole_cycle(spark):
     edges = spark.createDataFrame([(str(k), str((k * 7 + 3) % 20000)) for k in range(20000)] + [("a", "b"), ("b", None)], "src string, dst string")
     starts = spark.createDataFrame([("1",), ("2",), ("a",), ("z",)], "s string")

@@ -4,12 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names (or that the context was given).
+
+    Only a local session without one gets a folder of its own, which the context then keeps. On a
+    cluster that is an error: executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if named is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="arcweave-shared-")
+    if held.isEmpty():
+        context.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as written to and read from ``spark.checkpoint.dir`` (a folder of its own where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcweave-checkpoint-"))
+    """``df`` as written to and read from the shared folder.
+
+    Files go when the DataFrame is no longer referenced, if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,30 +1,36 @@
-"""What the training-data operators share: cutting lineage and linking nodes to components."""
+"""What the training-data operators share: shared tables, cutting lineage and linking nodes to components."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.sources.lineage import cut, shared_folder
+
+__all__ = ["connected_components", "cut", "drop_folder", "shared_folder", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, read from there; it stays until the folder is cleared.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) does
-    this set one of its own. Files go when the DataFrame is no longer referenced, if the
-    session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    For what is as large as the corpus: a checkpoint isn't compressed, and is read whole where a
+    table's columns are read one by one.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcweave-checkpoint-")
-        )
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

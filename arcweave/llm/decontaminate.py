@@ -9,23 +9,31 @@ positions of every ``sample``-th symbol and of each symbol after a break. All te
 through backward search together; their occurrences are located by walking to a sampled
 position; the spans are merged.
 
-Documents are read where they lie: nothing is shuffled. The benchmark goes out in blocks of at
-most about ``block_bytes`` of text, each one broadcast, so its size bounds no executor's memory.
+Documents are read where they lie: nothing is shuffled. The benchmark is cut into pieces that
+overlap by a window less a word, so that no item is too long, and pieces are dealt into blocks of
+about ``block_bytes`` of text. Tasks build the blocks; each goes out as a broadcast of its own
+(about ten times its text), and a worker holds one at a time: it reads a block from the
+executor's disk, scans the shard and lets it go. So memory, on the driver as well, doesn't grow
+with the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.common import cut
+
 WINDOW = 10
 #: What separates words becomes a space, A-Z becomes a-z; digits, a-z and all beyond ASCII stay.
 FOLD = bytes(
@@ -146,20 +154,28 @@ def build_block(items: list[tuple[str | None, bytes | None]], window: int = WIND
     symbol: dict[bytes, int] = {}
     names = sorted({i for i, _ in items if i is not None})
     number = {name: k for k, name in enumerate(names)}
-    found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+    windows: dict[int, list[np.ndarray]] = {}
+    owners: dict[int, list[np.ndarray]] = {}
     for name, text in items:
-        own = [symbol.setdefault(w, len(symbol) + 1) for w in words_of(text)]
+        words = words_of(text)
+        if not words:
+            continue
+        own = np.array([symbol.setdefault(w, len(symbol) + 1) for w in words], dtype=np.int32)
         length = min(window, len(own))
-        for at in range(len(own) - length + 1 if length else 0):
-            owners = found.setdefault(length, {}).setdefault(tuple(own[at : at + length]), set())
-            if name is not None:
-                owners.add(number[name])
+        rows = np.lib.stride_tricks.sliding_window_view(own, length)
+        windows.setdefault(length, []).append(rows)
+        owners.setdefault(length, []).append(np.full(len(rows), -1 if name is None else number[name], dtype=np.int32))
     phrases, first, of = [], [], []
-    for length in sorted(found):
-        rows = found[length]
-        phrases.append(np.array(list(rows), dtype=np.int64).reshape(-1, length))
-        first.append(np.concatenate([[0], np.cumsum([len(x) for x in rows.values()])]).astype(np.int64))
-        of.append(np.array([k for x in rows.values() for k in sorted(x)], dtype=np.int64))
+    for length in sorted(windows):
+        rows, own = np.concatenate(windows.pop(length)), np.concatenate(owners.pop(length))
+        order = np.lexsort([own, *rows.T[::-1]])
+        rows, own = rows[order], own[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+        # An item counts once for a phrase; one without a name hits but isn't listed.
+        listed = (own >= 0) & (new | np.concatenate([[True], own[1:] != own[:-1]]))
+        phrases.append(rows[new])
+        first.append(np.concatenate([[0], np.cumsum(listed)])[np.append(np.flatnonzero(new), len(rows))])
+        of.append(own[listed])
     return Block(symbol, phrases, first, of, names)
 
 
@@ -169,8 +185,8 @@ class Hits(NamedTuple):
     items: list[str]
 
 
-def scan(texts: list[list[bytes]], blocks: list[Block]) -> list[Hits]:
-    """What of the benchmark occurs in each document of one shard, given as words."""
+def scan(texts: list[list[bytes]], blocks: Iterable[Block]) -> list[Hits]:
+    """What of the benchmark occurs in each document of one shard, given as words. One block is held at a time."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths)])
     cover = np.zeros(int(begins[-1]) + 1, dtype=np.int64)
@@ -221,15 +237,71 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, window: int):
-    """Broadcast variables of Blocks; each holds the items of one share of the benchmark's hash range."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+def pieces(text: str | None, window: int, words: int) -> list[str]:
+    """``text`` in runs of ``words`` words and a window less one: they have its windows, and no others."""
+    own = words_of(text.encode()) if text is not None else []
+    starts = range(0, max(1, len(own) - window + 1), words)
+    return [b" ".join(own[s : s + words + window - 1]).decode() for s in starts]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int, window: int) -> list[Broadcast]:
+    """Broadcast variables of pickled Blocks, one after another; each holds a share of the pieces' hash range."""
+    words = max(window, block_bytes // 64)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = pieces(text, window, words)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(own, pa.string())], names=["id", "text"])
+
+    items = cut(benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(split, "id string, text string").distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / block_bytes))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_block(held, window))], pa.binary())], names=["block"])
+
+        current, held = None, []
+        for batch in batches:
+            for part, item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and part != current:
+                    yield told(held)
+                    held = []
+                current = part
+                held.append((item, text.encode()))
+        if held:
+            yield told(held)
+
+    dealt = items.select(F.pmod(F.xxhash64("id", "text"), F.lit(parts)).alias("part"), "id", "text").repartition(parts, "part").sortWithinPartitions("part", "id", "text")
+    # One partition after another, so the driver holds few blocks at a time.
+    made = cut(dealt.mapInArrow(build, "block binary"))
     context = benchmark.sparkSession.sparkContext
-    for k in range(parts):
-        share = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield context.broadcast(build_block([(r.id, r.text.encode() if r.text is not None else None) for r in share.collect()], window))
+    return [context.broadcast(bytes(row.block)) for row in made.toLocalIterator()]
+
+
+class _Shared:
+    """The blocks of a benchmark in a worker; a single one is kept, of more each is read again and let go."""
+
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
+        self.kept: Block | None = None
+
+    def __iter__(self) -> Iterator[Block]:
+        if len(self.blocks) == 1:
+            if self.kept is None:
+                self.kept = self._read(self.blocks[0])
+            yield self.kept
+            return
+        for own in self.blocks:
+            yield self._read(own)
+
+    @staticmethod
+    def _read(own: Broadcast) -> Block:
+        block = pickle.loads(own.value)
+        # The worker would keep the value for as long as it lives; its file stays.
+        own.__dict__.pop("_value", None)
+        return block
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text_at: int, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
@@ -245,7 +317,7 @@ def _shards(batches: Iterator[pa.RecordBatch], text_at: int, shard_words: int) -
                 begin, words, count = k + 1, [], 0
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 1_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 1_000_000, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, n_words, spans, items) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     spans are the merged word ranges [start, end) in which some window of ``benchmark`` (item_id,
@@ -254,11 +326,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     wordless texts have no words, spans or items, and such benchmark items match nothing. An item
     without an id hits but isn't listed. Repeated rows come out as often as they go in.
     """
-    blocks = list(_blocks(benchmark, block_bytes, window))
+    blocks = _blocks(benchmark, block_bytes, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = _Shared(blocks)
         for batch, _, words in _shards(batches, 1, shard_words):
-            found = scan(words, [b.value for b in blocks])
+            found = scan(words, shared)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -274,17 +347,18 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 1_000_000, block_bytes: int = 32 << 20) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 1_000_000, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs``, all its columns, without the benchmark's passages; n_chars follows the text.
 
     A row without a hit is untouched. A row of whose words none is left goes.
     """
-    blocks, at, count_at = list(_blocks(benchmark, block_bytes, window)), docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    blocks, at, count_at = _blocks(benchmark, block_bytes, window), docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = _Shared(blocks)
         for batch, texts, words in _shards(batches, at, shard_words):
-            found = scan(words, [b.value for b in blocks])
+            found = scan(words, shared)
             new, chars, keep = list(texts), [None] * len(texts), []
             for k, hits in enumerate(found):
                 if hits.spans:

@@ -87,3 +87,27 @@ def test_remove_cuts_spans_and_keeps_the_rest(spark, docs_of):
     assert dc.remove(docs_of([]), bench).collect() == [] == dc.report(docs_of([]), bench).collect()
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in dc.report(docs, none).collect())
+
+
+def test_pieces_have_the_windows_of_their_item():
+    rng = random.Random(9)
+    for n in (0, 1, 9, 10, 11, 19, 20, 21, 55):
+        own = [rng.choice("abcdefgh") for _ in range(n)]
+        size = min(10, n)
+        whole = {tuple(own[i : i + size]) for i in range(n - size + 1)} if n else set()
+        for words_each in (10, 13, 100):
+            parts = [words(p) for p in dc.pieces(" ".join(own), 10, words_each)]
+            assert {tuple(p[i : i + size]) for p in parts for i in range(len(p) - size + 1) if size} == whole
+            assert all(len(p) <= words_each + 9 for p in parts)
+
+
+def test_a_worker_holds_one_block_at_a_time(spark):
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(200))) for k in range(50)], "item_id long, text string")
+    blocks = dc._blocks(bench, 4000, 10)
+    assert len(blocks) > 5
+    shared = dc._Shared(blocks)
+    seen = []
+    for block in shared:
+        seen.append(sum(map(len, block.phrases)))
+        assert not any("_value" in b.__dict__ for b in blocks)
+    assert sum(seen) == 50 * 191 and max(seen) < 3 * sum(seen) / len(seen)

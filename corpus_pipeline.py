@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import tempfile  # noqa: F401  tests use it by this name
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arcweave.llm import decontaminate, pii, sentencepiece, simhash, toxicity
-from arcweave.llm.common import table
+from arcweave.llm.common import drop_folder, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,17 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id (of its repeated rows, one).
-
-    Rows without a doc_id can't stand for a group; they stay as they are.
-    """
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    )
+    """One row of each group of near-duplicates, each row judged by itself; see ``simhash.keep_one``."""
+    return simhash.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +27,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data and secrets."""
-    return pii.replace(docs).select(*docs.columns)
+    """Documents with surrogates for personal data and secrets, keyed by the session's ``spark.arcweave.pii.key``."""
+    return pii.replace(docs, key=spark.conf.get("spark.arcweave.pii.key", pii.KEY), kinds=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +46,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, in the shared folder that spark.checkpoint.dir names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcweave-pipeline-")
-    place = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """STAGES applied to documents, in the shared folder that spark.checkpoint.dir names.
+
+    Each stage's table goes when the next one's is written; the last stays, as it is the result.
+    """
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
-        docs = spark.read.parquet(f"{place}/{k}-{name}")
+        path = f"{place}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            drop_folder(spark, before)
+        before = path
     return docs
 
 

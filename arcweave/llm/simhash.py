@@ -216,6 +216,13 @@ def links(distinct: DataFrame, radius: int = 3, bucket_limit: int = 1024) -> Dat
     return found
 
 
+def _classes(distinct: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """(fp, least): of each fingerprint the smallest ``least`` in its component, from ``distinct`` (fp, least)."""
+    roots = connected_components(links(distinct, radius, bucket_limit))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("of")), "root").select("fp", F.col("of").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bucket_limit: int = 1024) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text; more columns are ignored).
 
@@ -227,10 +234,46 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bucket_lim
     """
     marked = cut(fingerprints(docs, width))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct, radius, bucket_limit))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    classes = _classes(distinct, radius, bucket_limit).withColumnRenamed("least", "component_id")
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, bucket_limit: int = 1024) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns), one of each component of ``near_duplicates``.
+
+    Rows are judged by themselves, not by their ids: the row that stays has the smallest doc_id of
+    its component, of these the text with the smallest hash, of equal texts the first row by its
+    columns as JSON. Rows without a doc_id all stay, as they can't stand for a group.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"))
+    marked = cut(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .where("doc_id IS NOT NULL")
+        .transform(lambda df: _marked(df, width))
+    )
+    distinct = cut(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n")))
+    best = _classes(distinct.select("fp", "least"), radius, bucket_limit)
+    # Of most documents nothing is like them: only the others' (doc_id, h) are told which go, and which come more than once.
+    judged = marked.join(best, "fp").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h") == F.col("least")).alias("stays"))
+    judged = cut(judged.where("n > 1 OR NOT stays").select(F.struct("doc_id", "h").alias("__own"), "stays"))
+    named = docs.withColumn("__own", own)
+    rest = named.join(judged.select("__own"), "__own", "left_anti").select(*docs.columns)
+    again = named.join(judged.where("stays").select("__own"), "__own", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = again.groupBy("__own").agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("__row"))
+    return rest.unionByName(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+
+
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, h, fp): ``fingerprints`` beside the text's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "h", "fp"])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")

@@ -80,3 +80,20 @@ def test_empty_nulls_and_repeats(docs_of):
     assert simhash.near_duplicates(docs_of([])).collect() == []
     found = simhash.near_duplicates(docs_of([(None, "a b c"), (7, "a b c"), (7, "a b c"), (None, "z")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
+
+
+def test_rows_are_judged_by_themselves(docs_of):
+    rows = [
+        (1, "a first text of some words"), (2, "a first text of some words"), (2, "quite another text altogether here"),
+        (3, "one of two unrelated texts"), (3, "the other one, nothing alike at all"), (4, "twice the same row"), (4, "twice the same row"),
+        (None, "a first text of some words"), (None, "a first text of some words"), (5, None), (6, ""), (0, "twice the same row"),
+    ]
+    docs = docs_of(rows, extra=True).selectExpr("*", "'y' AS least_", "array(1) AS list")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, rows[0][1]), (2, rows[2][1]), (3, rows[3][1]), (3, rows[4][1]), (None, rows[0][1]), (None, rows[0][1]), (5, None), (0, "twice the same row")], key=str
+    )
+    many = sample_rows()
+    assert {r.doc_id for r in simhash.keep_one(docs_of(many)).collect()} == {c for _, c in brute(many).values()}
+    assert simhash.keep_one(docs_of([])).collect() == []

@@ -162,18 +162,21 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
     """Messages of a table without parents (conv_id, turn, role, text): each row replies to the one before.
 
     Rows of a turn go by role, then text, nulls first; repeated rows are separate turns. A null
-    conv_id is a conversation like any other.
+    conv_id is a conversation like any other. The numbered messages are cut, as every round of
+    ``branches`` asks for them.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     numbered = conversations.select("conv_id", "turn", "role", "text").withColumn("k", F.row_number().over(order))
     name = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    return numbered.select(
-        "conv_id",
-        F.concat_ws(":", name, F.col("k").cast("string")).alias("id"),
-        F.when(F.col("k") > 1, F.concat_ws(":", name, (F.col("k") - 1).cast("string"))).alias("parent"),
-        F.lit(0.0).alias("score"),
-        "role",
-        "text",
+    return cut(
+        numbered.select(
+            "conv_id",
+            F.concat_ws(":", name, F.col("k").cast("string")).alias("id"),
+            F.when(F.col("k") > 1, F.concat_ws(":", name, (F.col("k") - 1).cast("string"))).alias("parent"),
+            F.lit(0.0).alias("score"),
+            "role",
+            "text",
+        )
     )
 
 
@@ -208,7 +211,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def with_control(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """``conversations`` and conversation -1, whose texts hold the template's control strings."""
+    """``conversations`` and conversation -1, whose texts hold the template's control strings.
+
+    Turns that the table itself has under -1 are of that conversation too, as in the SQL.
+    """
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     columns = [F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))]
     return conversations.select(*columns).unionByName(extra)

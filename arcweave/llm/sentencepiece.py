@@ -358,7 +358,8 @@ def prepared(model: str) -> Vocabulary:
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, token_ids, n_tokens, decoded_sha256, round_trip) for each row of ``docs`` (doc_id, text).
 
-    token_ids are the ids of the whole text, null for a null text and empty for an empty one.
+    token_ids are the ids of the whole text, null for a null text and empty for an empty one; both
+    have n_tokens 0 and a round trip, and a null text has no digest.
     decoded_sha256 is the digest of the text decoded from them, round_trip whether it is the
     text itself: true but for texts with U+2581, which the model cannot tell from a space, as in
     the library. Repeated rows come out as often as they go in.

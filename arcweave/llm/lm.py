@@ -1,12 +1,15 @@
 """Cross-entropy difference scoring (Moore and Lewis, 2010).
 
-Two bigram models, of a target (the rows that labels call good) and of the background (all
-rows), share one vocabulary: every word of the corpus. Words, bigrams and both models' counts
-come from all documents and grow with them.
+Two bigram models, of a target (the rows that labels call good) and of the background, share one
+vocabulary: every word of the corpus. Words, bigrams and both models' counts come from all
+documents and grow with them. The background is all rows; matched models (``matched``, as the
+query has them) are of the rows that are good and of those that aren't, the larger model's counts
+are scaled to the size of the smaller, so that smoothing weighs alike in both, and no row is
+scored by its own counts: they are left out of its own model's bigrams, contexts and words.
 
 The ``common`` most frequent words only say how a bigram is counted, not whether. Bigrams of two
-common words have tables of ``common`` squared single floats that are sent to the tasks (8 MB at
-1,024). All others go by key to the task of a word in them that isn't common: it has at most a
+common words have tables of ``common`` squared counts as single floats that are sent to the tasks
+(8 MB at 1,024). All others go by key to the task of a word in them that isn't common: it has at most a
 share of 1 in ``common`` of all tokens, so no key is hot. There the counts of the word and of its
 bigrams meet, and what they add to each document's loss goes back to the document. Words that
 aren't common are told apart by 63 bits of a hash (10**9 words: one pair in 18 runs is taken for
@@ -16,6 +19,7 @@ one word).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +105,35 @@ def count_pairs(docs: DataFrame, labels: DataFrame, vocabulary: dict[bytes, int]
     return out.reshape(2, size, size)
 
 
-def shares(counts: np.ndarray, slots: int) -> np.ndarray:
-    """The words' own shares, each of ``slots`` symbols counted once more."""
-    return (counts.sum(axis=0) + 1.0) / (counts.sum() + slots)
+class Models(NamedTuple):
+    """Counts of the target, then of the background, over common words; what a task needs of them."""
 
+    words: dict[bytes, int]
+    width: int
+    slots: int
+    pair: np.ndarray  # [model, before * width + word]
+    one: np.ndarray  # [model, word]
+    before: np.ndarray  # [model, word as the one before]
+    total: np.ndarray
+    scale: np.ndarray  # what a count of each model weighs
+    hold: bool  # a row's own counts are left out
 
-def losses(counts: np.ndarray, slots: int) -> np.ndarray:
-    """-log2 P(word | before) as [size, size] single floats, smoothed by the words' own shares."""
-    return -np.log2((counts + WEIGHT * shares(counts, slots)) / (counts.sum(axis=1, keepdims=True) + WEIGHT)).astype(np.float32)
+    def share(self, k: int, count: np.ndarray) -> np.ndarray:
+        """A word's share, each of ``slots`` symbols counted once more."""
+        return (self.scale[k] * count + 1.0) / (self.scale[k] * self.total[k] + self.slots)
+
+    def context(self, k: int, count: np.ndarray) -> np.ndarray:
+        return np.log2(self.scale[k] * count + WEIGHT)
+
+    def bigram(self, k: int, count: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """-log2 P(word | before) is ``context`` less this."""
+        return np.log2(self.scale[k] * count + WEIGHT * share)
+
+
+def within(key: np.ndarray) -> np.ndarray:
+    """How often each place's key occurs."""
+    _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+    return times[at]
 
 
 class Codes(dict):
@@ -156,32 +181,54 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def rare_terms(t: np.ndarray, other: np.ndarray, good: np.ndarray, last: np.ndarray, size: int, totals: tuple[float, float], slots: int, common_shares: np.ndarray) -> np.ndarray:
+def rare_terms(t: np.ndarray, other: np.ndarray, good: np.ndarray, last: np.ndarray, doc: np.ndarray, models: Models) -> np.ndarray:
     """[2, rows]: what each row adds to the target's and the background's loss of its document.
 
-    A row is an occurrence of a word ``t`` after ``other``, or, if ``size`` <= other < 2 * size,
-    of the common word other - size after ``t``. All rows of a ``t`` are there.
+    A row is an occurrence of a word ``t`` after ``other``, or, if width <= other < 2 * width, of
+    the common word other - width after ``t``; such a row has the word's number in its own
+    document above the lower 32 bits. All rows of a ``t`` are there.
     """
-    order = np.lexsort((other, t))
-    t, other, good, last = t[order], other[order], good[order], last[order]
-    word, pair, follows = runs(t), runs(t, other), (other >= size) & (other < 2 * size)
+    width = np.uint64(models.width)
+    plain = other < np.uint64(RARE)
+    own_b = np.where(plain, other >> np.uint64(32), np.uint64(0)).astype(np.int64)
+    other = np.where(plain, other & np.uint64(0xFFFFFFFF), other)
+    order = np.lexsort((doc, other, t) if models.hold else (other, t))
+    t, other, good, last, doc, own_b = t[order], other[order], good[order], last[order], doc[order], own_b[order]
+    word, pair, follows = runs(t), runs(t, other), (other >= width) & (other < width + width)
+    b = (other[follows] - width).astype(np.int64)
+    own_pair = own_word = own_before = np.zeros(1)
+    if models.hold:
+        own_pair = within(runs(t, other, doc))
+        _, both = np.unique(np.unique(doc, return_inverse=True)[1] + word * len(t), return_inverse=True)
+        own_word = np.bincount(both, weights=~follows)[both]
+        own_before = np.bincount(both, weights=~follows & ~last)[both]
     out = np.empty((2, len(t)))
-    for k, mark in enumerate((good.astype(np.float64), np.ones(len(t)))):
-        of_pair = np.bincount(pair, weights=mark)[pair]
-        of_word = np.bincount(word, weights=mark * ~follows)[word]
-        before = np.bincount(word, weights=mark * (~follows & ~last))[word]
-        share = (of_word + 1.0) / (totals[k] + slots)
-        share[follows] = common_shares[k][(other[follows] - np.uint64(size)).astype(np.int64)]
-        out[k, order] = np.where(follows | last, 0.0, np.log2(before + WEIGHT)) - np.log2(of_pair + WEIGHT * share)
+    marks = [good.astype(np.float64), 1.0 - good if models.hold else np.ones(len(t))]
+    for k, mark in enumerate(marks):
+        own = mark if models.hold else np.zeros(1)  # of rows in this model their own counts go
+        of_pair = np.bincount(pair, weights=mark)[pair] - own * own_pair
+        of_word = np.bincount(word, weights=mark * ~follows)[word] - own * own_word
+        before = np.bincount(word, weights=mark * (~follows & ~last))[word] - own * own_before
+        of_word[follows] = models.one[k][b] - (own * own_b)[follows] if models.hold else models.one[k][b]
+        out[k, order] = np.where(follows | last, 0.0, models.context(k, before)) - models.bigram(k, of_pair, models.share(k, of_word))
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: int = 1024, chunk: int = 1 << 20) -> DataFrame:
+def models_of(counts: np.ndarray, words: dict[bytes, int], width: int, slots: int, matched: bool) -> Models:
+    """From [2, width, width] counts of all rows and of the good ones."""
+    both = np.stack([counts[1], counts[0] - counts[1] if matched else counts[0]])
+    total = both.sum(axis=(1, 2))
+    scale = total.min() / total if matched and total.min() > 0 else np.ones(2)
+    return Models(words, width, slots, both.reshape(2, -1).astype(np.float32), both.sum(axis=1), both.sum(axis=2), total, scale, matched)
+
+
+def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: int = 1024, chunk: int = 1 << 20, matched: bool = False) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs`` (doc_id, text).
 
     ``size`` bounds the vocabulary, with one symbol for all words beyond it; None: it has all
     words. ``common`` (65,536 at most, as ``size``) and ``chunk``, the tokens that a task
-    handles at once, change no result.
+    handles at once, change no result. ``matched``: see above; a row's own words stay in the
+    model's total alone.
 
     Losses are bits a token; score is their difference, lower for texts more like the target. A
     text without words (null, empty) has no tokens and null losses. Without any good row the
@@ -195,12 +242,11 @@ def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: i
     words = vocabulary(counted, width)
     counts = count_pairs(docs, labels, words, width)
     slots = size if bounded else counted.count() + 2
-    totals = (float(counts[1].sum()), float(counts[0].sum()))
+    models = models_of(counts, words, width, slots, matched)
     spark = docs.sparkSession
     # Rows of one dealt part are held at once: there are more parts as there are more tokens.
-    parts = max(int(totals[1]) // 2_000_000 + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    before = np.log2(counts.sum(axis=2) + WEIGHT)[::-1]  # target first
-    shared = spark.sparkContext.broadcast((words, losses(counts[1], slots), losses(counts[0], slots), before, np.stack([shares(counts[1], slots), shares(counts[0], slots)])))
+    parts = max(int(counts[0].sum()) // 1_000_000 + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast(models)
     names, schema = ["part", "chunk", "kind", "blob"], "part int, chunk long, kind int, blob binary"
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
@@ -208,8 +254,8 @@ def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: i
         return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, target, background, context, _ = shared.value
-        codes, number = Codes(known, bounded), TaskContext.get().partitionId() << 32
+        models = shared.value
+        codes, number = Codes(models.words, bounded), TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # (doc_id, good, n) of the chunk's documents
         seen: list[np.ndarray] = []
 
@@ -224,15 +270,26 @@ def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: i
             prev[first] = START
             b_common, a_common = code < width, prev < width
             both, rare_b, rare_a = b_common & a_common, ~b_common, b_common & ~a_common
-            at = (prev[both] * np.uint64(width) + code[both]).astype(np.int64)
             mixed = rare_b & a_common
-            base = [
-                np.bincount(doc[both], weights=table.ravel()[at], minlength=len(n)) + np.bincount(doc[mixed], weights=own[prev[mixed].astype(np.int64)], minlength=len(n))
-                for table, own in zip((target, background), context)
-            ]
+            near = both | mixed  # after a common word
+            a, where = prev[near].astype(np.int64), doc[near].astype(np.int64)
+            pair = (prev[both] * np.uint64(width) + code[both]).astype(np.int64)
+            mark = np.array(good, dtype=np.float64)[doc]
+            own_a = own_pair = np.zeros(1)
+            own_b = np.zeros(len(code), dtype=np.int64)
+            if models.hold:
+                own_a, own_pair = within(where * width + a), within(doc[both].astype(np.int64) * width * width + pair)
+                own_b[b_common] = within(doc[b_common].astype(np.int64) * width + code[b_common].astype(np.int64))
+            base = []
+            for k, of in enumerate((mark, 1.0 - mark)):
+                of = of if models.hold else np.zeros(len(code))
+                context = models.context(k, models.before[k][a] - of[near] * own_a)
+                share = models.share(k, models.one[k][code[both].astype(np.int64)] - of[both] * own_b[both])
+                bigram = models.bigram(k, models.pair[k][pair] - of[both] * own_pair, share)
+                base.append(np.bincount(where, weights=context, minlength=len(n)) - np.bincount(doc[both], weights=bigram, minlength=len(n)))
             flags = doc << np.uint32(2) | np.array(good, dtype=np.uint32)[doc] << np.uint32(1) | last
             t = np.concatenate([code[rare_b], prev[rare_a]])
-            other = np.concatenate([prev[rare_b], code[rare_a] + np.uint64(width)])
+            other = np.concatenate([prev[rare_b], code[rare_a] + np.uint64(width) + (own_b[rare_a].astype(np.uint64) << np.uint64(32))])
             flags = np.concatenate([flags[rare_b], flags[rare_a]]).astype(np.uint32)
             order = np.argsort(t)
             t, other, flags = t[order], other[order], flags[order]
@@ -260,18 +317,19 @@ def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: i
                     number, tokens = number + 1, 0
                     held.clear(), seen.clear()
                 if len(codes) > 500_000:
-                    codes = Codes(known, bounded)
+                    codes = Codes(models.words, bounded)
         if held:
             yield close()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common_shares = shared.value[4]
+        models = shared.value
 
         def close(part: int, held: list[tuple]) -> pa.RecordBatch:
             cols = [unpacked(blob) for _, blob in held]
             size_of = [len(c[0]) for c in cols]
             t, other, flags = (np.concatenate(c) for c in zip(*cols))
-            terms = rare_terms(t, other, flags >> 1 & 1, (flags & 1).astype(bool), width, totals, slots, common_shares)
+            whose = (flags >> np.uint32(2)).astype(np.uint64) + np.repeat(np.arange(len(cols), dtype=np.uint64) << np.uint64(32), size_of)
+            terms = rare_terms(t, other, flags >> np.uint32(1) & np.uint32(1), (flags & np.uint32(1)).astype(bool), whose, models)
             rows, s = [], 0
             for (number, _), n in zip(held, size_of):
                 doc = flags[s : s + n] >> np.uint32(2)

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from arcweave.llm import chat, decontaminate, fingerprint, langid, license, lm, pii, sentencepiece, simhash, toxicity
 from arcweave.llm.common import table
 
@@ -34,7 +32,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), matched=True)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +54,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, not in the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
     "op2_simhash": op2_simhash,
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

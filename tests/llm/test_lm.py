@@ -67,3 +67,45 @@ def test_every_word_counts(spark, docs_of):
         found = sorted(map(tuple, lm.score(docs_of(rows, extra=True), labels, **given).collect()), key=str)
         assert [f[:2] for f in found] == [w[:2] for w in want]
         assert all(w[2] is None and f[2] is None or abs(f[2] - w[2]) < 1e-4 and abs(f[3] - w[3]) < 1e-4 for f, w in zip(found, want))
+
+
+def brute_matched(rows, labels):
+    """Each row by models of all other rows, the larger scaled to the smaller; only the totals keep the row's own words."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for _, t in rows]
+    slots = len({w for own in words for w in own}) + 2
+    good = {d for d, q in labels if q == 1 and d is not None}
+    side = [0 if d in good else 1 for d, _ in rows]
+    total = [sum(len(w) for w, s in zip(words, side) if s == k) for k in (0, 1)]
+    scale = [min(total) / n if min(total) else 1.0 for n in total]
+    out = []
+    for i, (d, _) in enumerate(rows):
+        sums = [0.0, 0.0]
+        for k in (0, 1):
+            two, one, before = Counter(), Counter(), Counter()
+            for j, own in enumerate(words):
+                if j != i and side[j] == k:
+                    for a, b in zip([None, *own], own):
+                        two[a, b] += 1
+                        one[b] += 1
+                        before[a] += 1
+            f = scale[k]
+            for a, b in zip([None, *words[i]], words[i]):
+                share = (f * one[b] + 1) / (f * total[k] + slots)
+                sums[k] -= math.log2((f * two[a, b] + 20 * share) / (f * before[a] + 20))
+        n = len(words[i])
+        out.append((d, n, *((s / n for s in sums) if n else (None, None))))
+    return out
+
+
+def test_matched_models_leave_each_row_out(spark, docs_of):
+    rng = random.Random(4)
+    rows = [(d, " ".join(["the", *(f"w{rng.randrange(1 << rng.randint(1, 9))}" for _ in range(rng.randint(0, 40))), f"own{d}", "w1 w1 w1"])) for d in range(40)]
+    rows += [rows[3], (50, rows[4][1]), (51, None), (51, " "), (None, "tail w1 tail"), (52, "solo")]
+    for marks in ([(d, int(d % 3 == 0)) for d in range(60)], [(d, 1) for d in range(60)] + [(None, 1)], []):
+        labels = spark.createDataFrame(marks, "doc_id long, quality int")
+        want = sorted(brute_matched(rows, marks), key=str)
+        for given in ({}, {"common": 8, "chunk": 100}):
+            found = sorted(map(tuple, lm.score(docs_of(rows, extra=True), labels, matched=True, **given).collect()), key=str)
+            assert [f[:2] for f in found] == [w[:2] for w in want]
+            for f, w in zip(found, want):
+                assert w[2] is None and f[2:] == (None, None, None) or all(abs(a - b) < 1e-4 for a, b in zip(f[2:], [*w[2:], w[2] - w[3]])), (f, w)

@@ -64,3 +64,33 @@ def test_planted_lines_are_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     wanted = {r.doc_id for r in docs.where("text LIKE '%icensed under%' OR text LIKE '%Released under the MIT%'").collect()}
     assert {r.doc_id for r in lic.scan(docs).where("license NOT IN ('none', 'unknown')").collect()} == wanted
+
+
+def test_unlisted_licences_are_unknown(docs_of):
+    lines = ["ISC License", "Boost Software License 1.0", "Licensed under the zlib/libpng license", "Permission is hereby granted under MIT terms", "SPDX-License-Identifier: EUPL-1.2", "Released under the WTFPL license."]
+    plain = ["mit der Zeit", "She drives with a licence", "You need a fishing license to fish in this lake.", "der Zug kam mit Verspätung"]
+    found = {r.doc_id: r.license for r in lic.scan(docs_of(list(enumerate(lines + plain)))).collect()}
+    assert [found[k] for k in range(len(found))] == ["unknown"] * len(lines) + ["none"] * len(plain)
+
+
+def test_the_gate_lets_through_what_has_an_ngram_of_the_model():
+    model = lic.train()
+    held = set(model.grams)
+    texts = [*lic._examples(5)[0][::7], *lic.OTHERS, "LICENSED,under", "xlicensed y", "the free-software", "nothing at all", ""]
+    for t in texts:
+        assert bool(re.search(lic.PATTERN, t)) == bool(lic.ngrams_of(t) & held), t
+
+
+def test_held_out_templates_keep_their_class():
+    """Whole templates that no variant of was learned: seldom told as another family (12 of 46 as their own, 6 as another, else as unknown or none)."""
+    right = wrong = total = 0
+    lines = lic._lines()
+    for fold in range(3):
+        learned = [(lic.ngrams_of(v), k) for j, (t, k) in enumerate(lines) if j % 3 != fold for v in lic._variants(lic.random.Random(j), t, 8)]
+        grams, w = lic._fit([own for own, _ in learned], [k for _, k in learned], 200, 1e-4)
+        held = [(t, k) for j, (t, k) in enumerate(lines) if j % 3 == fold and k < len(lic.TEMPLATES)]
+        told = (lic._matrix([lic.ngrams_of(t) for t, _ in held], grams) @ w).argmax(axis=1)
+        total += len(held)
+        right += sum(a == k for a, (_, k) in zip(told, held))
+        wrong += sum(a != k and a < len(lic.TEMPLATES) for a, (_, k) in zip(told, held))
+    assert wrong < 0.15 * total and right > wrong

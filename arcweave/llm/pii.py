@@ -5,8 +5,12 @@ of itself, of the same kind and shape: digits for digits, letters for letters in
 script, valid check digits, a name's gender and script. The same entity is replaced the same way
 everywhere. Names are found after a title, by a known given name before another name, or by a
 family name before an honorific; then each bare mention of a name that was found in a document is
-looked for in it. Names without any of these stay: no list of names is complete. Replacements are checked over the whole corpus: two entities of a kind never share
-one, and none equals an entity that occurs; whoever loses such a clash draws again.
+looked for in it. Names without any of these stay: no list of names is complete. Replacements are
+checked over the whole corpus: two entities of a kind never share one, and none equals an entity
+that occurs; whoever loses such a clash draws again. An address is a mailbox at a domain, and
+each of the two is replaced for itself: different domains stay different, colleagues stay
+colleagues. Each text is matched once; texts, with what was found in them, go to a table in the
+shared folder, and only those with entities are joined to their replacements.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweave.llm.common import cut
+from arcweave.llm.common import cut, written
 
 KEY = "arcweave-demo-key"
 
@@ -240,12 +244,15 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
         tail = "".join(draw.pick("0123456789") for _ in range(attempt // 4 - 8))
         return surrogate(key, kind, entity, attempt % 40) + ("" if kind in ("card", "iban", "phone") else "-") + tail
     more = "".join(draw.pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(attempt // 4))
-    if kind == "email":
+    if kind == "domain":
+        *labels, top = entity.split(".")
+        return ".".join([*(draw.like(x) for x in labels[:-1]), draw.like(labels[-1]) + more, top])
+    if kind == "mailbox":  # of its own domain's mailboxes; see ``assign``
         local, domain = entity.rsplit("@", 1)
-        labels = domain.split(".")
-        # A domain's replacement depends on the domain alone, so colleagues stay colleagues.
-        house = Draw(key, "domain", domain, 0)
-        return draw.like(local) + more + "@" + ".".join([*(house.like(x) for x in labels[:-1]), labels[-1]])
+        return f"{draw.like(local)}{more}@{domain}"
+    if kind == "email":  # by itself; ``assign`` lets its domain draw again
+        local, domain = entity.rsplit("@", 1)
+        return f"{draw.like(local)}{more}@{surrogate(key, 'domain', domain, 0)}"
     if kind == "secret":
         fixed = entity[:4] if entity[:4] in ("AKIA", "ASIA") else ""
         rest = entity[len(fixed) :]
@@ -283,87 +290,104 @@ def worn(kind: str, mention: str, plain: str) -> str:
     return plain
 
 
-def assign(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity, plain): a replacement for each distinct entity of ``found`` (kind, entity).
+def _drawn(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (kind, entity, attempt) and what each draws, plain."""
 
-    Each round, of those of a kind that drew the same replacement the one with the least entity
-    keeps it, and of those that drew an existing entity none does; the others draw again. Only
-    pairs of strings move; no group of them is gathered. The values to draw from grow with the
-    attempts (see ``surrogate``), so the rounds end for any entities.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, entity, attempt = (c.to_pylist() for c in batch.columns)
+            made = [surrogate(key, k, e, a) for k, e, a in zip(kind, entity, attempt)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "entity", "attempt", "plain"])
 
-    def drawn(df: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind, entity, attempt = (c.to_pylist() for c in batch.columns)
-                made = [surrogate(key, k, e, a) for k, e, a in zip(kind, entity, attempt)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "entity", "attempt", "plain"])
+    return df.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, plain string")
 
-        return df.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, plain string")
 
-    known = cut(found.select("kind", "entity").distinct())
+def assign(found: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, entity, plain): a replacement for each distinct entity of ``found`` (kind, entity).
+
+    An email's mailbox and domain draw apart: domains settle among all domains, mailboxes among
+    those of their own domain. In each round what was drawn must be no entity that occurs and
+    nobody's replacement yet; of those that drew the same in one round the one with the least
+    entity keeps it, and the others draw again. Only they and what they drew are looked at in the
+    next round. The values to draw from grow with the attempts (see ``surrogate``), so the rounds
+    end for any entities. Only pairs of strings move; no group of them is gathered.
+    """
+    known = found.select("kind", "entity").distinct()
+    mail, domain = F.col("kind") == "email", F.substring_index("entity", "@", -1)
+    # Its domain and its mailbox are entities beside what else was found.
+    known = cut(
+        known.select(F.when(mail, "mailbox").otherwise(F.col("kind")).alias("kind"), "entity")
+        .unionByName(known.where(mail).select(F.lit("domain").alias("kind"), domain.alias("entity")).distinct())
+    )
     taken = known.select("kind", F.col("entity").alias("plain"))
-    current = cut(drawn(known.withColumn("attempt", F.lit(0))))
+    open_, settled = known.withColumn("attempt", F.lit(0)), []
     while True:
-        # Whoever drew something first (a lower attempt) keeps it.
-        first = current.groupBy("kind", "plain").agg(F.min(F.struct("attempt", "entity")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-        shared = first.where("n > 1").drop("n").unionByName(
-            first.join(taken, ["kind", "plain"], "left_semi").select("kind", "plain", F.lit(None).cast("struct<attempt: int, entity: string>").alias("keeper"))
-        ).groupBy("kind", "plain").agg(F.min(F.struct(F.col("keeper").isNotNull().alias("some"), "keeper")).alias("k"))
-        losers = current.join(shared, ["kind", "plain"]).where(~F.col("k.some") | (F.col("entity") != F.col("k.keeper.entity")))
-        losers = cut(losers.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
-        if losers.isEmpty():
-            return current.select("kind", "entity", "plain")
-        current = cut(current.join(losers, ["kind", "entity"], "left_anti").unionByName(drawn(losers)))
-
-
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs``, all its columns, with entities of ``text`` replaced, then ``pii`` array<string>.
-
-    pii lists the kinds found, one for each mention. Rows without entities are untouched (null
-    and empty texts among them); n_chars, if there, follows the text. Repeated rows are treated
-    alike, each for itself.
+        drew = cut(_drawn(open_, key))
+        occupied = taken
+        for part in settled:
+            occupied = occupied.unionByName(part.select("kind", "plain"))
+        blocked = occupied.join(drew.select("kind", "plain").distinct(), ["kind", "plain"])
+        free = drew.join(blocked, ["kind", "plain"], "left_anti")
+        kept = cut(free.groupBy("kind", "plain").agg(F.min("entity").alias("entity")))
+        settled.append(kept)
+        open_ = cut(drew.join(kept, ["kind", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
+        if open_.isEmpty():
+            break
+    whole = settled[0]
+    for part in settled[1:]:
+        whole = whole.unionByName(part)
+    boxes = whole.where("kind = 'mailbox'").select("entity", domain.alias("domain"), F.substring_index("plain", "@", 1).alias("box"))
+    houses = whole.where("kind = 'domain'").select(F.col("entity").alias("domain"), F.col("plain").alias("house"))
+    mails = boxes.join(houses, "domain").select(F.lit("email").alias("kind"), "entity", F.concat_ws("@", "box", "house").alias("plain"))
+    return whole.where("kind NOT IN ('mailbox', 'domain')").select("kind", "entity", "plain").unionByName(mails)
+
+
+def replace(docs: DataFrame, key: str = KEY, kinds: str | None = "pii") -> DataFrame:
+    """``docs``, all its columns, with entities of ``text`` replaced, then ``kinds`` array<string>.
+
+    The last column lists the kinds found, one for each mention; a column of ``docs`` by its name
+    goes. With None there is none, and all columns stay. Rows without entities are untouched
+    (null and empty texts among them); n_chars, if there, follows the text. Repeated rows are
+    treated alike, each for itself.
     """
-    at, schema = docs.columns.index("text"), docs.schema
-    names = docs.columns
-    spans = "array<struct<start: int, end: int, kind: string, entity: string>>"
-    kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string())]))
+    if kinds is not None:
+        docs = docs.drop(*[c for c in docs.columns if c.lower() == kinds.lower()])
+    schema, names = docs.schema, docs.columns
+    at = names.index("text")
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string())])
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [entities(t) for t in batch.column(at).to_pylist()]
-            some = pa.array([bool(x) for x in found])
-            own = pa.array([[{"start": s, "end": e, "kind": k, "entity": v} for s, e, k, v in x] for x in found if x], kind_of)
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.filter(some).columns, fields=list(batch.schema)), own], names=["row", "spans"])
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not entities(t) for t in batch.column(at).to_pylist()]))
+            found = [[{"start": s, "end": e, "kind": k, "entity": v} for s, e, k, v in entities(t)] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), pa.array(found, pa.list_(span))], names=["row", "spans"])
 
-    held = cut(docs.mapInArrow(detect, T.StructType([T.StructField("row", schema), *T._parse_datatype_string(f"spans {spans}").fields])))
-    held = held.withColumn("at", F.monotonically_increasing_id())  # of checkpointed rows: it stays
-    mentions = held.select("at", F.explode("spans").alias("m")).select("at", "m.start", "m.kind", "m.entity")
-    plains = assign(mentions, key)
-    told = mentions.join(plains, ["kind", "entity"]).groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "plain"))).alias("plains"))
+    spans = T._parse_datatype_string("spans array<struct<start: int, end: int, kind: string, entity: string>>").fields
+    seen = docs.mapInArrow(detect, T.StructType([T.StructField("row", schema), *spans]))
+    # Of written rows the number stays the same, however often they are read.
+    seen = written(seen.withColumn("at", F.monotonically_increasing_id()), "pii")
+    mentions = seen.where(F.size("spans") > 0).select("at", F.explode("spans").alias("m")).select("at", "m.start", "m.kind", "m.entity")
+    told = mentions.join(assign(mentions, key), ["kind", "entity"]).groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "plain"))).alias("plains"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, marks, plain = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             columns = row.flatten()
-            texts, kinds = [], []
+            texts, found = [], []
             for text, own, new in zip(columns[at].to_pylist(), marks, plain):
                 parts, done = [], 0
                 for m, p in zip(own, new):
                     parts += [text[done : m["start"]], worn(m["kind"], text[m["start"] : m["end"]], p["plain"])]
                     done = m["end"]
                 texts.append("".join([*parts, text[done:]]))
-                kinds.append([m["kind"].split("-")[0] for m in own])
+                found.append([m["kind"].split("-")[0] for m in own])
             columns[at] = pa.array(texts, columns[at].type)
             if "n_chars" in names:
                 k = names.index("n_chars")
                 columns[k] = pa.array([len(t) for t in texts], columns[k].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=[*names, "pii"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type)), pa.array(found, pa.list_(pa.string()))], names=["row", "found"])
 
-    out = T.StructType([*schema.fields, T.StructField("pii", T.ArrayType(T.StringType()))])
-    changed = held.join(told, "at").select("row", "spans", "plains").mapInArrow(rewrite, out)
-    return docs.mapInArrow(clean, schema).withColumn("pii", F.array().cast("array<string>")).unionByName(changed)
+    out = T.StructType([T.StructField("row", schema), T.StructField("found", T.ArrayType(T.StringType()))])
+    changed = seen.where(F.size("spans") > 0).join(told, "at").select("row", "spans", "plains").mapInArrow(rewrite, out)
+    same = seen.where(F.size("spans") == 0).select("row", F.array().cast("array<string>").alias("found"))
+    whole = same.unionByName(changed)
+    return whole.select(*[F.col("row").getField(c).alias(c) for c in names], *([F.col("found").alias(kinds)] if kinds is not None else []))

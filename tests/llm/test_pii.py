@@ -82,3 +82,63 @@ def test_names_and_their_bare_mentions(docs_of):
         assert name not in got[2]
     assert got[2].split()[1] + "." == got[2].split()[6] and "先生和" in got[2]
     assert got[3] == "Elton and Smith and Berger"  # nothing in this document makes names of them
+
+
+def brute(rows, key=pii.KEY):
+    """Texts and kinds of (doc_id, text) rows by plain Python, one text and one entity after another."""
+    marks = [pii.entities(t) for _, t in rows]
+    known = {(k, e) for own in marks for _, _, k, e in own}
+    parts = {(k, e) for k, e in known if k != "email"} | {("mailbox", e) for k, e in known if k == "email"} | {("domain", e.split("@")[-1]) for k, e in known if k == "email"}
+    used, plain = set(parts), {}
+    attempt, left = 0, sorted(parts)
+    while left:
+        drew = {x: (x[0], pii.surrogate(key, *x, attempt)) for x in left}
+        for x in left:  # in order: the least entity first
+            if drew[x] not in parts and drew[x] not in plain.values() and drew[x] not in used:
+                plain[x] = drew[x]
+        used |= set(plain.values())
+        left, attempt = [x for x in left if x not in plain], attempt + 1
+    out = []
+    for (d, text), own in zip(rows, marks):
+        done, new = 0, ""
+        for s, e, k, entity in own:
+            if k == "email":
+                told = plain["mailbox", entity][1].rsplit("@", 1)[0] + "@" + plain["domain", entity.rsplit("@", 1)[1]][1]
+            else:
+                told = plain[k, entity][1]
+            new, done = new + text[done:s] + pii.worn(k, text[s:e], told), e
+        out.append((d, text if text is None else new + text[done:], [k.split("-")[0] for _, _, k, _ in own]))
+    return out
+
+
+def test_whole_query_matches_brute_force(spark, sf_dir, docs_of):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + k, f"write to {c}@{d}.com or {c}@{c}.com") for k, (c, d) in enumerate((c, d) for c in "abz" for d in "abcdefghijklmnopqrstuvwxyz")]
+    rows += [(20_000, TEXT), (20_001, "Mr Adam, Mr Bert and Mrs Hannah Adam; Adam"), (20_002, None), (20_002, ""), (20_003, "_@_.com, Password: ________"), (20_003, "Κυρία Ελένη Παπαδοπούλου, 王小明先生, السيد محمد")]
+    found = [(r.doc_id, r.text, r.pii) for r in pii.replace(docs_of(rows)).collect()]
+    assert sorted(found, key=str) == sorted(brute(rows), key=str)
+
+
+def test_domains_stay_distinct_and_shared(docs_of):
+    rows = [(k, f"{name}@{c}.com") for k, (name, c) in enumerate((n, c) for n in ("ann", "bob") for c in "abcdefghijklmnopqrstuvwxyz")]
+    got = {t: r.text.split("@") for r in pii.replace(docs_of(rows)).collect() for t in [rows[r.doc_id][1]]}
+    houses = {t: d for t, (_, d) in got.items()}
+    assert len(set(houses.values())) == 26 and all(houses[f"ann@{c}.com"] == houses[f"bob@{c}.com"] for c in "abcdefghijklmnopqrstuvwxyz")
+    assert len({"@".join(x) for x in got.values()}) == 52 and not set(houses.values()) & {f"{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def test_scripts_are_kept(docs_of):
+    text = "Κυρία Παπαδοπούλου. 王小明先生. السيد القاسمي."
+    got = pii.replace(docs_of([(1, text)])).first().text
+    for old, new in zip(text.replace(".", " ").split(), got.replace(".", " ").split()):
+        assert pii.script_of(old) == pii.script_of(new)
+    assert not any(x in got for x in ("Παπαδοπούλου", "王小明", "القاسمي"))
+
+
+def test_a_column_of_the_same_name(spark, docs_of):
+    docs = docs_of([(1, "a@b.org"), (2, None)]).selectExpr("*", "'old' AS PII")
+    found = pii.replace(docs)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "pii"] and {str(r.pii) for r in found.collect()} == {"['email']", "[]"}
+    kept = pii.replace(docs, kinds=None)
+    assert kept.columns == docs.columns and {r.PII for r in kept.collect()} == {"old"}
+    assert pii.replace(docs, key="another").where("doc_id = 1").first().text != found.where("doc_id = 1").first().text

@@ -4,15 +4,58 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcweave.errors import QueryError
-
-
-def percentile(col: str, p: float) -> Column:
-    """Exact, linear between neighbours (R-7); null for p outside (0, 1]."""
-    return F.percentile(F.col(col).cast("double"), F.lit(p)) if 0 < p <= 1 else F.lit(None).cast("double")
+from arcweave.sources.lineage import cut
+
+
+def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row a group: each name of ``wanted`` (column, p) exact, linear between neighbours (R-7).
+
+    Values of a group are counted, sorted in ranges over (group, value) and counted up within each
+    range; a range's own groups, one row each, carry the counts of the ranges before. So a group
+    of any size is spread over tasks. Null values don't count; a group without any, and p outside
+    (0, 1], give null.
+    """
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n") if keys else df.sparkSession.range(1).select()
+    held = groups.select(*[F.col(k) for k in keys], F.struct(F.lit(1), *[F.col(k) for k in keys]).alias("__g"))
+    for column in sorted({c for c, _ in wanted.values()}):
+        own = df.select(F.struct(F.lit(1), *[F.col(k) for k in keys]).alias("__g"), F.col(column).cast("double").alias("__v")).where("__v IS NOT NULL")
+        counts = own.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__c"))
+        ranged = cut(counts.repartitionByRange("__g", "__v").withColumn("__p", F.spark_partition_id()))
+        sums = ranged.groupBy("__g", "__p").agg(F.sum("__c").alias("__s"))
+        over = Window.partitionBy("__g")
+        sums = sums.select("__g", "__p", (F.sum("__s").over(over.orderBy("__p")) - F.col("__s")).alias("__b"), F.sum("__s").over(over).alias("__n"))
+        here = Window.partitionBy("__g", "__p").orderBy("__v")
+        upto = ranged.withColumn("__u", F.sum("__c").over(here)).join(sums, ["__g", "__p"])
+        last = F.col("__b") + F.col("__u")  # values up to and with this one; the places are last - c to last - 1
+        told = []
+        for name, (c, p) in wanted.items():
+            if c == column and 0 < p <= 1:
+                at = (F.col("__n") - 1) * F.lit(float(p))
+                for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+                    told.append(F.max(F.when((place < last) & (place >= last - F.col("__c")), F.col("__v"))).alias(f"__{name}_{end}"))
+                told.append(F.max(at - F.floor(at)).alias(f"__{name}_part"))
+        if told:
+            held = held.join(upto.groupBy("__g").agg(*told), "__g", "left")
+    made = [
+        (F.col(f"__{n}_lo") + (F.col(f"__{n}_hi") - F.col(f"__{n}_lo")) * F.col(f"__{n}_part") if 0 < p <= 1 else F.lit(None).cast("double")).alias(n)
+        for n, (_, p) in wanted.items()
+    ]
+    return held.select(*[F.col(k) for k in keys], *made)
+
+
+def saturating_sum(df: DataFrame, col: str) -> Column:
+    """The sum of a column; of whole numbers it stops at the ends of a long instead of failing."""
+    kind = df.schema[col].dataType if isinstance(col, str) and col in df.columns else None
+    if not isinstance(kind, T.IntegralType):
+        return F.sum(col)
+    whole = F.sum(F.col(col).cast("decimal(38,0)"))
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in ("-9223372036854775808", "9223372036854775807"))
+    return F.when(whole.isNotNull(), F.greatest(low, F.least(high, whole)).cast("long"))
 
 
 @dataclass(frozen=True)
@@ -47,25 +90,36 @@ class Pipeline:
     def limit(self, n: int) -> Pipeline:
         return replace(self, most=n)
 
+    def aggregated(self, df: DataFrame) -> DataFrame:
+        made, wanted = [], {}
+        for name, (func, col, *rest) in self.aggs:
+            makers = {"count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "sum": lambda c: saturating_sum(df, c)}
+            if func == "percentile":
+                wanted[name] = (col, rest[0])
+            elif func in makers:
+                made.append(makers[func](col).alias(name))
+            else:
+                raise QueryError("unknown_aggregate", func)
+        # Keys that are expressions become columns, so that both ways have the same groups.
+        keys = [k if isinstance(k, str) else f"__k{i}" for i, k in enumerate(self.keys)]
+        shown = [k if isinstance(k, str) else df.select(k).columns[0] for k in self.keys]
+        df = df.withColumns({n: k for n, k in zip(keys, self.keys) if not isinstance(k, str)})
+        whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *made).where("__n > 0").drop("__n")
+        if wanted:
+            found = percentiles(df, keys, wanted).withColumnsRenamed({k: f"__r_{k}" for k in keys})
+            both = F.lit(True)
+            for k in keys:
+                both = both & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+            whole = whole.join(found, both) if keys else whole.crossJoin(F.broadcast(found))  # a row each
+        names = [n for n, _ in self.aggs]
+        return whole.select(*[F.col(f"`{k}`").alias(s) for k, s in zip(keys, shown)], *[F.col(f"`{n}`") for n in names])
+
     def run(self, df: DataFrame) -> DataFrame:
         """Nulls are a group, are skipped by aggregates, and come first in ascending order."""
         for condition in self.where:
             df = df.where(condition)
         if self.aggs:
-            made = []
-            for name, (func, col, *rest) in self.aggs:
-                makers = {
-                    "count": lambda: F.count(col),
-                    "sum": lambda: F.sum(col),
-                    "avg": lambda: F.avg(col),
-                    "min": lambda: F.min(col),
-                    "max": lambda: F.max(col),
-                    "percentile": lambda: percentile(col, rest[0]),
-                }
-                if func not in makers:
-                    raise QueryError("unknown_aggregate", func)
-                made.append(makers[func]().alias(name))
-            df = df.groupBy(*self.keys).agg(*made) if self.keys else df.agg(F.count(F.lit(1)).alias("__n"), *made).where("__n > 0").drop("__n")
+            df = self.aggregated(df)
         elif self.after:
             raise QueryError("having_without_aggregate", "having needs an aggregate")
         elif self.columns:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.sources.graph import snapshot
+from arcweave.sources.keys import is_id, visible
+from arcweave.sources.lineage import cut
 
 
 def read_as_of(log: DataFrame, key: str, tx: int | None = None, id_col: str = "id") -> DataFrame:
     """One row: status live, deleted or missing, the transaction, and the properties if live."""
-    own = log.where(F.col(id_col) == key)
+    own = log.where(is_id(log, id_col, key))
     own = own if tx is None else own.where(F.col("tx") <= tx)
-    rest = [c for c in log.columns if c not in (id_col, "tx", "is_tombstone")]
+    rest = [c for c in visible(log.columns) if c not in (id_col, "tx", "is_tombstone")]
     newest = own.agg(F.max_by(F.struct("tx", "is_tombstone", *rest), F.struct("tx", "is_tombstone")).alias("v"))
     status = F.when(F.col("v").isNull(), "missing").when(F.col("v.is_tombstone"), "deleted").otherwise("live")
     return newest.select(F.lit(key).alias(id_col), status.alias("status"), F.col("v.tx").alias("tx"), *[F.when(~F.col("v.is_tombstone"), F.col(f"v.`{c}`")).alias(c) for c in rest])
@@ -20,8 +22,8 @@ def read_as_of(log: DataFrame, key: str, tx: int | None = None, id_col: str = "i
 
 def versions(log: DataFrame, key: str | None = None, id_col: str = "id") -> DataFrame:
     """The version chain, one row for each transaction of an id (a tombstone wins a tie)."""
-    own = log if key is None else log.where(F.col(id_col) == key)
-    rest = [c for c in log.columns if c not in (id_col, "tx", "is_tombstone")]
+    own = log if key is None else log.where(is_id(log, id_col, key))
+    rest = [c for c in visible(log.columns) if c not in (id_col, "tx", "is_tombstone")]
     one = own.groupBy(id_col, "tx").agg(F.max_by(F.struct("is_tombstone", *rest), "is_tombstone").alias("v"))
     return one.select(id_col, "tx", "v.*")
 
@@ -51,12 +53,12 @@ def diff(log: DataFrame, before: int, after: int, props: list[str], id_col: str
 def retain(log: DataFrame, keep: int | None, floor: int | None = None, id_col: str = "id") -> DataFrame:
     """The log with each id's newest ``keep`` versions (None: all), and any from transaction ``floor`` on."""
     if keep is None:
-        return log
+        return log.select(*visible(log.columns))
     w = Window.partitionBy(id_col).orderBy(F.col("tx").desc(), F.col("is_tombstone").desc())
     kept = F.col("__r") <= keep
     if floor is not None:
         kept = kept | (F.col("tx") >= floor)
-    return log.withColumn("__r", F.row_number().over(w)).where(kept).drop("__r")
+    return log.select(*visible(log.columns)).withColumn("__r", F.row_number().over(w)).where(kept).drop("__r")
 
 
 def tx_time(commits: DataFrame, tx: int) -> DataFrame:
@@ -64,6 +66,14 @@ def tx_time(commits: DataFrame, tx: int) -> DataFrame:
 
 
 def growth(df: DataFrame, at: str) -> DataFrame:
-    """(at, n, total): new rows of each value of ``at`` and all up to it."""
+    """(at, n, total): new rows of each value of ``at`` and all up to it.
+
+    Counts are sorted in ranges, each summed by itself; what lies before a range, a number each,
+    is added. So no task holds all values, however fine ``at`` is. Nulls come first.
+    """
     counts = df.groupBy(at).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("total", F.sum("n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
+    ranged = cut(counts.repartitionByRange(F.col(at).asc_nulls_first()).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p").agg(F.sum("n").alias("__s"))
+    before = sums.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    here = Window.partitionBy("__p").orderBy(F.col(at).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("total", F.sum("n").over(here)).join(F.broadcast(before), "__p").select(at, "n", (F.col("total") + F.col("__b")).alias("total"))

@@ -174,7 +174,7 @@ def external_key(spark, d):
     "SELECT filler, count(DISTINCT edge_id) AS degree FROM (SELECT 'customer:' || o_custkey AS filler, o_orderkey AS edge_id FROM orders UNION ALL SELECT 'order:' || o_orderkey, o_orderkey FROM orders) GROUP BY 1",
 )
 def adjacency_degree(spark, d):
-    return views.degrees(graph(spark, d).edges["placed"].incidence())
+    return graph(spark, d).edges["placed"].degrees()
 
 
 # --- Versions and time ----------------------------------------------------------------------------
@@ -287,7 +287,7 @@ def traverse_typed(spark, d):
 
 @query("ego_network", "SELECT 'placed:' || o_orderkey AS edge_id, 'order' AS role, 'order:' || o_orderkey AS node FROM orders WHERE o_custkey = 11")
 def ego_network(spark, d):
-    return views.ego(graph(spark, d).edges["placed"].incidence(), "customer:11")
+    return views.ego(graph(spark, d).edges["placed"].of("customer:11").incidence(), "customer:11")
 
 
 @query("graph_projection", "SELECT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target, 'link' AS kind FROM orders")

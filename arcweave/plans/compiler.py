@@ -3,13 +3,15 @@
 Every pattern becomes a select over its typed table whose columns are its variables; patterns
 join on the variables they share. The order puts a small or filtered pattern first, then always
 one that shares a variable, and a recursion once its start is bound; Catalyst and adaptive
-execution choose join strategies, push filters down and prune columns from there.
+execution choose join strategies, push filters down and prune columns from there. Variables that
+hold ids of one kind stay native keys until they are compared with text, ordered or returned.
 """
 
 from __future__ import annotations
 
 import datetime
 import functools
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from arcweave.errors import QueryError
 from arcweave.operators.recursion import closure
 from arcweave.plans.language import ANY, Agg, Bool, Cmp, Lit, Path, Pattern, Query, Ref, Var, parse
 from arcweave.sources.graph import Edge, Graph
+from arcweave.sources.keys import KIND, SUFFIX, is_id, key_in, kind_of, shown, visible
 
 UNKNOWN = 10**10
 
@@ -56,7 +59,7 @@ def validate(query: Query, graph: Graph) -> None:
         if p.type in graph.edges:
             roles, props = set(graph.edges[p.type].roles), set(graph.edges[p.type].props)
         else:
-            roles, props = set(), set(graph.entities[p.type].columns) - {"id"}
+            roles, props = set(), set(visible(graph.entities[p.type].columns)) - {"id"}
         for name, term in p.bindings:
             if name not in roles | props:
                 raise QueryError("unknown_role_or_property", f"{p.type}.{name}")
@@ -92,7 +95,7 @@ def variables(p: Pattern) -> set[str]:
     return {t.name for _, t in p.bindings if isinstance(t, Var)} | ({p.var} if p.var else set())
 
 
-def order_patterns(patterns: list[Pattern], sizes: dict[str, int]) -> list[Pattern]:
+def order_patterns(patterns: list[Pattern], sizes: dict[str, float]) -> list[Pattern]:
     """Greedy: most shared variables, then the smallest estimate; a recursion only when one of its roles is bound."""
 
     def estimate(p: Pattern) -> float:
@@ -112,6 +115,11 @@ def order_patterns(patterns: list[Pattern], sizes: dict[str, int]) -> list[Patte
     return out
 
 
+def sizes_of(graph: Graph, query: Query) -> dict[str, float]:
+    """The planner's estimates; one pattern needs none."""
+    return {p.type: graph.size(p.type) for p in query.patterns if not p.steps} if len(query.patterns) > 1 else {}
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, graph: Graph):
         self.spark, self.graph = spark, graph
@@ -122,8 +130,8 @@ class Compiler:
         self.count += 1
         return f"__{self.count}"
 
-    def columns(self, df: DataFrame, pairs: list[tuple[str, object]], roles: set[str]) -> DataFrame:
-        """``df`` filtered by its literal bindings, its variables' columns alone."""
+    def columns(self, df: DataFrame, pairs: list[tuple[str, object]], roles: set[str], own: str | None = None) -> DataFrame:
+        """``df`` filtered by its literal bindings, its variables' columns alone. ``own`` is the table's key, which is never null."""
         named: dict[str, list[str]] = {}
         for name, term in pairs:
             kind = df.schema[name].dataType
@@ -134,34 +142,54 @@ class Compiler:
             if isinstance(term, Lit):
                 df = df.where(compare("=", col, F.lit(term.value), kind, literal_type(term.value)) if term.value is not None else col.isNull())
             elif isinstance(term, Ref):
-                df = df.where(col == F.lit(term.id))
+                df = df.where(is_id(df, name, term.id))
             else:
-                df = df.where(col.isNotNull())
+                if name != own:
+                    df = df.where(F.col(f"`{name}{SUFFIX}`" if kind_of(df, name) else f"`{name}`").isNotNull())
                 if isinstance(term, Var):
                     named.setdefault(term.name, []).append(name)
         out = []
         for var, names in named.items():
+            kinds = {kind_of(df, n) for n in names}
+            native = len(kinds) == 1 and None not in kinds
+            side = lambda n: F.col(f"`{n}{SUFFIX}`" if native else f"`{n}`")
             for other in names[1:]:
-                df = df.where(F.col(f"`{names[0]}`") == F.col(f"`{other}`"))
-            out.append(F.col(f"`{names[0]}`").alias(var))
+                df = df.where(side(names[0]) == side(other))
+            out.append(side(names[0]).alias(var, metadata={KIND: kinds.pop()}) if native else F.col(f"`{names[0]}`").alias(var, metadata={}))
         return df.select(*out) if out else df.select(F.lit(1).alias(self.fresh()))
 
     def scan(self, p: Pattern) -> DataFrame:
         pairs = list(p.bindings)
         if p.type in self.graph.edges:
-            edge = self.graph.edges[p.type]
+            edge, own = self.graph.edges[p.type], "edge_id"
             df, roles = edge.df, set(edge.roles)
             if p.var:
                 if "edge_id" not in df.columns:
                     raise QueryError("unbound_variable", f"{p.type} has no edge ids for ?{p.var}")
                 pairs.append(("edge_id", Var(p.var)))
         else:
-            df, roles = self.graph.entities[p.type], set()
+            df, roles, own = self.graph.entities[p.type], set(), "id"
             if p.var:
                 pairs.append(("id", Var(p.var)))
         if p.var:
             self.types.setdefault(p.var, set()).add(p.type)
-        return self.columns(df, pairs, roles)
+        return self.columns(df, pairs, roles, own)
+
+    @staticmethod
+    def native(df: DataFrame, name: str) -> str | None:
+        """The kind whose native keys a variable's column holds."""
+        return df.schema[name].metadata.get(KIND)
+
+    def text(self, df: DataFrame, name: str) -> Column:
+        kind = self.native(df, name)
+        return shown(kind, F.col(f"`{name}`")) if kind else F.col(f"`{name}`")
+
+    def told(self, df: DataFrame, *names: str) -> DataFrame:
+        """``df`` with the ids of ``names`` (none given: of all) as text."""
+        wanted = {c for c in names or df.columns if self.native(df, c)}
+        if not wanted:
+            return df
+        return df.select(*[self.text(df, c).alias(c, metadata={}) if c in wanted else F.col(f"`{c}`") for c in df.columns])
 
     def recursion(self, p: Pattern, bound: DataFrame | None) -> DataFrame:
         edge: Edge = self.graph.edges[p.type]
@@ -175,7 +203,7 @@ class Compiler:
             if name in (start[0], end[0]):
                 continue
             if isinstance(term, Ref):
-                held = held.where(F.col(name) == term.id)
+                held = held.where(is_id(held, name, term.id))
             elif isinstance(term, Lit):
                 held = held.where(compare("=", F.col(name), F.lit(term.value), held.schema[name].dataType, literal_type(term.value)))
             else:
@@ -183,25 +211,38 @@ class Compiler:
         for name in (start[0], end[0]):
             if isinstance(held.schema[name].dataType, T.ArrayType):
                 held = held.withColumn(name, F.explode(name))
-        steps = held.select(F.col(start[0]).alias("src"), F.col(end[0]).alias("dst"))
-        if isinstance(start[1], Ref):
-            starts = self.spark.range(1).select(F.lit(start[1].id).alias("start"))
-            pairs = closure(steps, starts, *p.steps)
-            return pairs.select(F.col("end").alias(end[1].name))
-        starts = bound.select(F.col(start[1].name).alias("start"))
+        # Nodes of one kind are walked by their native keys.
+        kind = kind_of(held, start[0])
+        whole = isinstance(start[1], Ref)
+        if kind is not None and (kind != kind_of(held, end[0]) or kind != (kind if whole and key_in(kind, start[1].id) is not None else None if whole else self.native(bound, start[1].name))):
+            kind = None
+        step = lambda n: F.col(f"`{n}{SUFFIX}`" if kind else f"`{n}`")
+        steps = held.select(step(start[0]).alias("src"), step(end[0]).alias("dst"))
+        if whole:
+            starts = self.spark.range(1).select(F.lit(key_in(kind, start[1].id)).cast("long").alias("start") if kind else F.lit(start[1].id).alias("start"))
+        else:
+            starts = (bound if kind else self.told(bound, start[1].name)).select(F.col(start[1].name).alias("start"))
         pairs = closure(steps, starts, *p.steps)
+        meta = {KIND: kind} if kind else {}
+        if whole:
+            return pairs.select(F.col("end").alias(end[1].name, metadata=meta))
         if start[1].name == end[1].name:
-            return pairs.where("start = end").select(F.col("start").alias(start[1].name))
-        return pairs.select(F.col("start").alias(start[1].name), F.col("end").alias(end[1].name))
+            return pairs.where("start = end").select(F.col("start").alias(start[1].name, metadata=meta))
+        return pairs.select(F.col("start").alias(start[1].name, metadata=meta), F.col("end").alias(end[1].name, metadata=meta))
 
     def match(self, query: Query) -> DataFrame:
         bound: DataFrame | None = None
-        for p in order_patterns(query.patterns, self.graph.sizes):
+        for p in order_patterns(query.patterns, sizes_of(self.graph, query)):
             own = self.recursion(p, bound) if p.steps else self.scan(p)
             if bound is None:
                 bound = own
                 continue
             shared = [c for c in bound.columns if c in own.columns]
+            mixed = [c for c in shared if self.native(bound, c) != self.native(own, c)]
+            if mixed:
+                bound, own = self.told(bound, *mixed), self.told(own, *mixed)
+            if not shared:
+                warnings.warn(f"{p.type} shares no variable with the patterns before it: a Cartesian product", stacklevel=2)
             bound = bound.join(own, shared) if shared else bound.crossJoin(own)
         return bound
 
@@ -209,29 +250,37 @@ class Compiler:
         """``df`` and a column for each path: the property of the record that the variable names, or null."""
         for var in sorted({p.var for p in paths if p.prop}):
             props = sorted({p.prop for p in paths if p.var == var and p.prop})
-            sources = []
+            kind, sources = self.native(df, var), []
             types = self.types.get(var) or {n for n, t in self.graph.entities.items() if set(props) & set(t.columns)}
             for name in sorted(types):
                 table = self.graph.entities[name] if name in self.graph.entities else self.graph.edges[name].df
                 key = "id" if name in self.graph.entities else "edge_id"
                 have = [p for p in props if p in table.columns]
-                if have:
-                    sources.append(table.select(F.col(key).alias(var), *[F.col(p).alias(f"{var}.{p}") for p in have]))
-            if not sources:
-                for p in props:
-                    df = df.withColumn(f"{var}.{p}", F.lit(None))
-                continue
-            whole = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-            df = df.join(whole, var, "left")
+                its = kind_of(table, key) if key in table.columns else None
+                if have and not (kind and its and its != kind):  # another kind's ids are none of these
+                    sources.append((its, table, key, have))
+            if kind and {its for its, *_ in sources} - {kind}:
+                df, kind = self.told(df, var), None
+            made = [
+                table.select(F.col(key + SUFFIX if kind else key).alias(var, metadata={}), *[F.col(p).alias(f"{var}.{p}") for p in have])
+                for _, table, key, have in sources
+            ]
+            if made:
+                df = df.join(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made), var, "left")
             for p in props:
                 if f"{var}.{p}" not in df.columns:
                     df = df.withColumn(f"{var}.{p}", F.lit(None))
         return df
 
+    def value(self, df: DataFrame, path: Path) -> tuple[Column, T.DataType]:
+        if path.prop is None and self.native(df, path.label):
+            return self.text(df, path.label), T.StringType()
+        return F.col(f"`{path.label}`"), df.schema[path.label].dataType
+
     def condition(self, node, df: DataFrame) -> Column:
         def side(x) -> tuple[Column, T.DataType | None]:
             if isinstance(x, Path):
-                return F.col(f"`{x.label}`"), df.schema[x.label].dataType
+                return self.value(df, x)
             if isinstance(x, Ref):
                 return F.lit(x.id), T.StringType()
             return F.lit(x.value), literal_type(x.value)
@@ -241,6 +290,10 @@ class Compiler:
             if node.op == "not":
                 return ~args[0]
             return functools.reduce((lambda a, b: a & b) if node.op == "and" else (lambda a, b: a | b), args)
+        # Two ids of one kind compare by their keys; their order is that of their text.
+        both = [x.label for x in (node.left, node.right) if isinstance(x, Path) and x.prop is None]
+        if node.op in ("=", "!=") and len(both) == 2 and self.native(df, both[0]) and self.native(df, both[0]) == self.native(df, both[1]):
+            return compare(node.op, F.col(f"`{both[0]}`"), F.col(f"`{both[1]}`"), T.LongType(), T.LongType())
         (a, ta), (b, tb) = side(node.left), side(node.right)
         return compare(node.op, a, b, ta, tb)
 
@@ -258,20 +311,24 @@ class Compiler:
             return F.count(F.lit(1)).alias(agg.label)
         if agg.func == "count":
             return F.count(F.col(f"`{agg.arg.var}`")).alias(agg.label)
-        col, kind = F.col(f"`{agg.arg.label}`"), df.schema[agg.arg.label].dataType
+        col, kind = self.value(df, agg.arg)
         number = col.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
         made = {"sum": lambda: F.coalesce(F.sum(number), F.lit(0.0)), "avg": lambda: F.avg(number), "min": lambda: F.min(col), "max": lambda: F.max(col)}
         return made[agg.func]().alias(agg.label)
 
-    def bindings(self, query: Query) -> DataFrame:
+    def bindings(self, query: Query, told: bool = True) -> DataFrame:
+        """The rows of the variables; ids as text if ``told``."""
         df = self.match(query)
         if query.where is not None:
             df = self.with_paths(df, self.paths_in(query.where))
             df = df.where(self.condition(query.where, df))
-        return df
+        return self.told(df) if told else df
 
     def read(self, query: Query) -> DataFrame:
-        df = self.bindings(query)
+        return self.project(query, self.bindings(query, told=False))
+
+    def project(self, query: Query, df: DataFrame) -> DataFrame:
+        """What ``return``, ``order by`` and ``limit`` make of the variables' rows."""
         items = query.returns
         used = {i for i in items if isinstance(i, Path)} | {i.arg for i in items if isinstance(i, Agg) and i.arg} | {p for p, _ in query.order}
         df = self.with_paths(df, {p for p in used if p.label not in df.columns})
@@ -281,6 +338,7 @@ class Compiler:
             groups = [i.label for i in items if isinstance(i, Path)]
             df = df.groupBy(*[tick(g) for g in groups]).agg(*[self.aggregate(i, df) for i in items if isinstance(i, Agg)])
             keys = [k for k, (p, _) in zip(keys, query.order) if p.label in groups]
+        df = self.told(df)
         if keys:
             df = df.orderBy(*keys)
         if query.limit is not None:
@@ -312,4 +370,4 @@ def explain(graph: Graph, source: str) -> list[str]:
     """The order in which the patterns join."""
     query = parse(source)
     held = graph.at(None) if query.as_of is None else graph
-    return [p.type for p in order_patterns(query.patterns, held.sizes)]
+    return [p.type for p in order_patterns(query.patterns, sizes_of(held, query))]

@@ -228,6 +228,8 @@ class Parser:
             self.fail("the end")
         if not (q.patterns or q.creates or q.merges):
             self.fail("'match', 'create' or 'merge'")
+        if not (q.returns or q.deletes or q.sets or q.creates or q.merges):
+            self.fail("'return' or a write")
         return q
 
     def pattern(self) -> Pattern:

@@ -1,4 +1,4 @@
-"""The star-schema tables as a hypergraph."""
+"""The star-schema tables as a hypergraph. Tables are opened when a query asks for them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.sources.graph import Edge, Graph
+from arcweave.sources.keys import keyed, shown
+
+PREFIXES = {"region": "r_", "nation": "n_", "customer": "c_", "supplier": "s_", "part": "p_", "order": "o_"}
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "order": "o_orderkey"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,54 +17,60 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ident(kind: str, key: str) -> Column:
-    return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    return shown(kind, F.col(key))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     t = lambda name: read(spark, sf_dir, name)
-    pre = {"region": "r", "nation": "n", "customer": "c", "supplier": "s", "part": "p", "orders": "o"}
-    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+    key = lambda name, kind, column: keyed(name, kind, F.col(column))
 
     def entity(name: str) -> DataFrame:
-        df = t(name)
-        kind = "order" if name == "orders" else name
-        return df.select(ident(kind, keys[name]).alias("id"), *[F.col(c).alias(c.removeprefix(pre[name] + "_")) for c in df.columns])
-
-    orders, lines, parts = t("orders"), t("lineitem"), t("part")
-    placed = orders.select(
-        ident("placed", "o_orderkey").alias("edge_id"), ident("customer", "o_custkey").alias("buyer"), ident("order", "o_orderkey").alias("order"),
-        F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").cast("timestamp").alias("orderdate"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
-    )
-    line = lines.select(
-        ident("order", "l_orderkey").alias("order"), ident("part", "l_partkey").alias("part"), ident("supplier", "l_suppkey").alias("supplier"),
-        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("returnflag"),
-    )
-    members = t("customer").select(ident("customer", "c_custkey").alias("member"), ident("nation", "c_nationkey").alias("nation")).unionByName(
-        t("supplier").select(ident("supplier", "s_suppkey").alias("member"), ident("nation", "s_nationkey").alias("nation"))
-    )
-    regions = t("nation").select(ident("nation", "n_nationkey").alias("nation"), ident("region", "n_regionkey").alias("region"))
-    tree = parts.where("p_partkey >= 1").select(F.concat(F.lit("part:"), F.floor(F.col("p_partkey") / 3).cast("string")).alias("parent"), ident("part", "p_partkey").alias("child"))
-    ring = parts.where("p_partkey < 500").select(ident("part", "p_partkey").alias("parent"), F.concat(F.lit("part:"), ((F.col("p_partkey") * 7 + 3) % 500).cast("string")).alias("child"))
+        df = t("orders" if name == "order" else name)
+        return df.select(*key("id", name, KEYS[name]), *[F.col(c).alias(c.removeprefix(PREFIXES[name])) for c in df.columns])
+
+    def placed() -> Edge:
+        named = {"o_totalprice": "totalprice", "o_orderstatus": "status", "o_orderpriority": "priority"}
+        df = t("orders").select(
+            *key("edge_id", "placed", "o_orderkey"), *key("buyer", "customer", "o_custkey"), *key("order", "order", "o_orderkey"),
+            F.col("o_orderdate").cast("timestamp").alias("orderdate"), *[F.col(c).alias(n) for c, n in named.items()],
+        )
+        return Edge(df, ["buyer", "order"])
+
+    def line() -> Edge:
+        named = {"l_quantity": "quantity", "l_extendedprice": "price", "l_returnflag": "returnflag"}
+        df = t("lineitem").select(
+            *key("order", "order", "l_orderkey"), *key("part", "part", "l_partkey"), *key("supplier", "supplier", "l_suppkey"), *[F.col(c).alias(n) for c, n in named.items()]
+        )
+        return Edge(df, ["order", "part", "supplier"])
+
+    def in_nation() -> Edge:
+        """Members are of two kinds, so their ids are strings."""
+        parts = [t(k).select(ident(k, KEYS[k]).alias("member"), *key("nation", "nation", PREFIXES[k] + "nationkey")) for k in ("customer", "supplier")]
+        return Edge(parts[0].unionByName(parts[1]), ["member", "nation"])
+
+    def in_region() -> Edge:
+        return Edge(t("nation").select(*key("nation", "nation", "n_nationkey"), *key("region", "region", "n_regionkey")), ["nation", "region"])
+
+    def contains() -> Edge:
+        df = t("part").where("p_partkey >= 1")
+        return Edge(df.select(*keyed("parent", "part", F.floor(F.col("p_partkey") / 3)), *key("child", "part", "p_partkey")), ["parent", "child"])
+
+    def ring() -> Edge:
+        df = t("part").where("p_partkey < 500")
+        return Edge(df.select(*key("parent", "part", "p_partkey"), *keyed("child", "part", (F.col("p_partkey") * 7 + 3) % 500)), ["parent", "child"])
+
     return Graph(
-        entities={("order" if n == "orders" else n): entity(n) for n in keys},
-        edges={
-            "placed": Edge(placed, ["buyer", "order"]),
-            "line": Edge(line, ["order", "part", "supplier"]),
-            "in_nation": Edge(members, ["member", "nation"]),
-            "in_region": Edge(regions, ["nation", "region"]),
-            "contains": Edge(tree, ["parent", "child"]),
-            "ring": Edge(ring, ["parent", "child"]),
-        },
-        entity_logs={"usr": user_log(spark, sf_dir)},
-        commits=t("events").select((F.col("event_id") + 1).alias("tx"), F.col("ts").cast("timestamp").alias("ts")),
-        sizes={"region": 5, "nation": 25, "in_region": 25, "supplier": 10**3, "customer": 10**4, "in_nation": 10**4, "part": 10**4, "contains": 10**4, "ring": 500, "order": 10**5, "placed": 10**5, "line": 10**6},
+        entities={n: lambda n=n: entity(n) for n in KEYS},
+        edges={"placed": placed, "line": line, "in_nation": in_nation, "in_region": in_region, "contains": contains, "ring": ring},
+        entity_logs={"usr": lambda: user_log(spark, sf_dir)},
+        commits=lambda: t("events").select((F.col("event_id") + 1).alias("tx"), F.col("ts").cast("timestamp").alias("ts")),
     )
 
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a version of its user; an error deletes."""
     return read(spark, sf_dir, "events").select(
-        ident("user", "user_id").alias("id"), (F.col("event_id") + 1).alias("tx"), (F.col("event_type") == "error").alias("is_tombstone"), F.col("value"), F.col("event_type").alias("kind")
+        *keyed("id", "user", F.col("user_id")), (F.col("event_id") + 1).alias("tx"), (F.col("event_type") == "error").alias("is_tombstone"), F.col("value"), F.col("event_type").alias("kind")
     )
 
 
@@ -68,4 +78,4 @@ def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): k -> (k * 7 + 3) mod N over all N parts."""
     parts = read(spark, sf_dir, "part").select("p_partkey")
     n = parts.agg(F.count(F.lit(1)).alias("n"))
-    return parts.crossJoin(F.broadcast(n)).select(ident("part", "p_partkey").alias("src"), F.concat(F.lit("part:"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).cast("string")).alias("dst"))
+    return parts.crossJoin(F.broadcast(n)).select(ident("part", "p_partkey").alias("src"), shown("part", (F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))

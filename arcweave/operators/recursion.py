@@ -59,9 +59,9 @@ def _walked(edges: pa.Table, starts: DataFrame, least: int, most: int | None) ->
                     seen |= frontier
                 n, over = len(out), bool(frontier) and most is None
                 made = list(out)
-                yield pa.RecordBatch.from_arrays([pa.array([start] * n, batch.schema.field(0).type), pa.array(made, batch.schema.field(0).type), pa.array([over] * n)], names=["start", "end", "over"])
+                yield pa.RecordBatch.from_arrays([pa.array([start] * n, batch.schema.field(0).type), pa.array(made, batch.schema.field(0).type), pa.array([over] * n, pa.bool_())], names=["start", "end", "over"])
                 if over and not n:
-                    yield pa.RecordBatch.from_arrays([pa.array([start], batch.schema.field(0).type), pa.array([None], batch.schema.field(0).type), pa.array([True])], names=["start", "end", "over"])
+                    yield pa.RecordBatch.from_arrays([pa.array([start], batch.schema.field(0).type), pa.array([None], batch.schema.field(0).type), pa.array([True], pa.bool_())], names=["start", "end", "over"])
 
     schema = T.StructType([T.StructField("start", kind), T.StructField("end", kind), T.StructField("over", T.BooleanType())])
     found = starts.mapInArrow(run, schema)

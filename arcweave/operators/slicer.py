@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcweave.errors import QueryError
+from arcweave.sources.keys import visible
 from arcweave.sources.lineage import cut
 
 
@@ -149,9 +150,35 @@ def pivot_margins(df: DataFrame, row: str, col: str, value: str | None = None) -
     return df.cube(row, col).agg(made.alias("value"), F.grouping_id().cast("int").alias("level"))
 
 
-def coarsen(df: DataFrame, col: str, keep: int = 18, other: str = "Other") -> DataFrame:
-    """Counts of the ``keep`` most frequent values (ties: the smaller first), the rest together."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+def pivot_dimensions(df: DataFrame, rows: list[str], cols: list[str], func: str = "count", value: str | None = None) -> DataFrame:
+    """Any aggregate by several row and column keys; a column a combination, named `a / b`, nulls where it has no rows."""
+    made = {"count": F.count, "sum": lambda c: saturating_sum(df, c), "avg": F.avg, "min": F.min, "max": F.max}
+    if func not in made:
+        raise QueryError("unknown_aggregate", func)
+    name = F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols])
+    return df.withColumn("__col", name).groupBy(*rows).pivot("__col").agg(F.count(F.lit(1)) if value is None else made[func](value))
+
+
+def version_columns(log: DataFrame, kind: str = "entity", key: str = "id") -> DataFrame:
+    """The log with each version's kind, primary_id, tx_assert, and tx_supersede (the next version's, null for the latest)."""
+    after = F.lead("tx").over(Window.partitionBy(key).orderBy("tx", "is_tombstone"))
+    return log.select("*", F.lit(kind).alias("__kind"), after.alias("tx_supersede")).select(
+        F.col("__kind").alias("kind"), F.col(key).alias("primary_id"), F.col("tx").alias("tx_assert"), "tx_supersede", *[c for c in visible(log.columns) if c not in (key, "tx", "kind")]
+    )
+
+
+def histogram(df: DataFrame, col: str, bounds: list[float]) -> DataFrame:
+    """(le, n): how many values are at most each bound, the last one infinite; nulls don't count."""
+    every = [*bounds, float("inf")]
+    counts = df.where(F.col(col).isNotNull()).agg(*[F.coalesce(F.sum((F.col(col) <= b).cast("long")), F.lit(0)).alias(f"c{k}") for k, b in enumerate(every)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"c{k}").alias("n")) for k, b in enumerate(every)])).alias("h")).select("h.le", "h.n")
+
+
+def coarsen(df: DataFrame, col: str, keep: int = 18, other: str = "Other", value: str | None = None) -> DataFrame:
+    """Counts of the ``keep`` most frequent values (ties: the smaller first), the rest together; with ``value`` its low, high and total."""
+    more = [F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total")] if value else []
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"), *more)
     top = counts.orderBy(F.col("n").desc(), col).limit(keep).select(F.col(col).alias("top"))
     joined = counts.join(F.broadcast(top), F.col(col) == F.col("top"), "left")
-    return joined.groupBy(F.coalesce("top", F.lit(other)).alias(col)).agg(F.sum("n").alias("n"))
+    again = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total")] if value else []
+    return joined.groupBy(F.coalesce("top", F.lit(other)).alias(col)).agg(F.sum("n").alias("n"), *again)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions import scalars as S
-from arcweave.operators import slicer, timetravel, vector, views, writes
+from arcweave.operators import constraints, lookup, slicer, timetravel, vector, views, writes
 from arcweave.operators.recursion import closure, closure_of_successors
 from arcweave.operators.slicer import Pipeline
 from arcweave.plans.compiler import run
 from arcweave.sources import export
-from arcweave.sources.graph import Edge, snapshot
+from arcweave.sources.graph import Edge, Graph, snapshot
 from arcweave.sources.tables import cycle, graph, ident, read, user_log
 from arcweave.streaming.feed import changes_since
 
@@ -151,22 +151,22 @@ def dense_column(spark, d):
 
 @query("property_lookup", "SELECT p_partkey FROM part WHERE p_size = 15")
 def property_lookup(spark, d):
-    return read(spark, d, "part").where(F.col("p_size") == 15).select("p_partkey")
+    return lookup.property_lookup(read(spark, d, "part"), "p_size", 15).select("p_partkey")
 
 
 @query("property_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000")
 def property_range(spark, d):
-    return read(spark, d, "orders").where(F.col("o_totalprice").between(100_000, 120_000)).select("o_orderkey", "o_totalprice")
+    return lookup.property_range(read(spark, d, "orders"), "o_totalprice", 100_000, 120_000).select("o_orderkey", "o_totalprice")
 
 
 @query("property_top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
 def property_top_k(spark, d):
-    return read(spark, d, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(25).select("c_custkey", "c_acctbal")
+    return lookup.property_top_k(read(spark, d, "customer"), "c_acctbal", 25, "c_custkey").select("c_custkey", "c_acctbal")
 
 
 @query("external_key", "SELECT min('customer:' || c_custkey) AS id FROM customer WHERE c_name = 'Customer#000000042'")
 def external_key(spark, d):
-    return graph(spark, d).entities["customer"].where(F.col("name") == "Customer#000000042").agg(F.min("id").alias("id"))
+    return lookup.external_key(graph(spark, d).entities["customer"], "name", "Customer#000000042")
 
 
 @query(
@@ -463,14 +463,12 @@ def nearest_supplier(spark, d):
 
 @query("ordered_list_agg", "SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice, o_orderkey) AS orders FROM orders GROUP BY 1")
 def ordered_list_agg(spark, d):
-    listed = F.sort_array(F.collect_list(F.struct("o_totalprice", "o_orderkey")))
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"))
+    return views.ordered_lists(read(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey").select("o_custkey", "n", F.array_join(F.col("items").cast("array<string>"), ",").alias("orders"))
 
 
 @query("arg_max_group", "SELECT o_orderpriority, max(o_totalprice) AS top, min(o_orderkey) AS o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority) GROUP BY 1")
 def arg_max_group(spark, d):
-    best = F.max_by(F.struct("o_totalprice", "o_orderkey"), F.struct("o_totalprice", -F.col("o_orderkey"))).alias("b")
-    return read(spark, d, "orders").groupBy("o_orderpriority").agg(best).select("o_orderpriority", F.col("b.o_totalprice").alias("top"), F.col("b.o_orderkey").alias("o_orderkey"))
+    return views.arg_max(read(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey").withColumnRenamed("o_totalprice", "top")
 
 
 @query("threshold_bucket", "SELECT CASE WHEN l_quantity > 45 THEN 'very high' WHEN l_quantity > 35 THEN 'high' WHEN l_quantity > 25 THEN 'mid' ELSE 'low' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
@@ -493,7 +491,187 @@ def haversine(spark, d):
 
 @query("money_sum", "SELECT c_mktsegment, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS balance FROM customer GROUP BY 1")
 def money_sum(spark, d):
-    return read(spark, d, "customer").groupBy("c_mktsegment").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("decimal(38,2)").alias("balance"))
+    return views.money_sum(read(spark, d, "customer"), "c_mktsegment", "c_acctbal").withColumnRenamed("total", "balance")
+
+
+# --- Further operators ----------------------------------------------------------------------------
+
+
+@query("property_range_open", "SELECT p_partkey, p_size FROM part WHERE p_size >= 45")
+def property_range_open(spark, d):
+    return lookup.property_range(read(spark, d, "part"), "p_size", low=45).select("p_partkey", "p_size")
+
+
+@query(
+    "adjacency_overview",
+    "SELECT * FROM (SELECT 'placed' AS edge, 'buyer' AS role, count(*) AS n FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'in_nation', 'member', count(*) FROM customer WHERE c_custkey = 7) WHERE n > 0",
+)
+def adjacency_overview(spark, d):
+    return lookup.overview(graph(spark, d), "customer:7")
+
+
+@query("cursor_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 40 ORDER BY o_orderkey LIMIT 25")
+def cursor_page(spark, d):
+    return lookup.page(read(spark, d, "orders"), "o_orderkey", 25, after=40).select("o_orderkey", "o_totalprice")
+
+
+pattern("count_edges", "match placed() as ?e return count()", "SELECT count(*) AS n FROM orders", count_="n")
+pattern("member_literal", "match in_nation(member: uuid:customer:7, nation: ?n) nation(name: ?x) as ?n return ?n, ?x", "SELECT 'nation:' || n_nationkey AS n, n_name AS x FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7")
+pattern("id_order", "match in_region(nation: ?a, region: ?r) in_region(nation: ?b, region: ?r) where ?a < ?b return ?r, count(?a), min(?a)", "SELECT 'region:' || a.n_regionkey AS r, count(*) AS n, min('nation:' || a.n_nationkey) AS low FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE 'nation:' || a.n_nationkey < 'nation:' || b.n_nationkey GROUP BY 1", count_a="n", min_a="low")
+pattern("recursion_from_bound", 'match part(size: 7, partkey: ?k) as ?p contains{1,2}(parent: ?p, child: ?x) where ?k < 300 return ?p, ?x', f"WITH e AS {_TREE}, s AS (SELECT 'part:' || p_partkey AS p FROM part WHERE p_size = 7 AND p_partkey < 300) SELECT p, dst AS x FROM s JOIN e ON src = p UNION SELECT p, g.dst FROM s JOIN e ON src = p JOIN e g ON g.src = e.dst")
+
+
+@query("bfs_limited", "WITH RECURSIVE r AS (SELECT 1 AS k, 0 AS depth UNION SELECT p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 3 = k AND p_partkey >= 1 WHERE depth < 3) SELECT 'part:' || k AS id, min(depth) AS depth FROM r GROUP BY k ORDER BY depth, id LIMIT 20")
+def bfs_limited(spark, d):
+    tree = graph(spark, d).edges["contains"].df
+    return views.bfs(tree.select(F.col("parent").alias("src"), F.col("child").alias("dst")), "part:1", 3, 20)
+
+
+@query("ego_references", "SELECT 'nation.regionkey' AS via, 'in:regionkey' AS role, 'nation:' || n_nationkey AS node, 2 AS arity FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'nation:' || n_nationkey || '|region:' || n_regionkey, 'nation', 'nation:' || n_nationkey, 2 FROM nation WHERE n_regionkey = 2")
+def ego_references(spark, d):
+    g = graph(spark, d)
+    n = g.entities["nation"].withColumn("regionkey", ident("region", "regionkey"))
+    return views.ego_whole(_incidence(spark, d, "in_region"), views.references(n, {"regionkey": "region"}, "nation"), "region:2")
+
+
+@query(
+    "projection_references",
+    "SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'link' AS kind FROM nation UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'ref' FROM nation ORDER BY 1, 2, 3 LIMIT 30",
+)
+def projection_references(spark, d):
+    n = graph(spark, d).entities["nation"].withColumn("regionkey", ident("region", "regionkey"))
+    return views.projection_whole(_incidence(spark, d, "in_region"), views.references(n, {"regionkey": "region"}, "nation"), 30)
+
+
+@query(
+    "record_summary",
+    "SELECT 'versions' AS what, 0 AS n UNION ALL SELECT 'roles:placed', count(*) FROM orders WHERE o_custkey = 11 UNION ALL SELECT 'members:placed', count(*) FROM orders WHERE o_custkey = 11",
+)
+def record_summary(spark, d):
+    return views.record_summary(graph(spark, d), "customer", "customer:11")
+
+
+@query("sum_saturates", "SELECT l_returnflag, CAST(least(9223372036854775807, sum(CAST(l_partkey AS HUGEINT) * 4000000000000)) AS BIGINT) AS total FROM lineitem GROUP BY 1")
+def sum_saturates(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("big", F.col("l_partkey") * F.lit(4_000_000_000_000))
+    return Pipeline().group_by("l_returnflag").aggregate(total=("sum", "big")).run(rows)
+
+
+@query(
+    "pivot_dimensions",
+    "SELECT l_returnflag, round(avg(l_discount) FILTER (l_linestatus = 'F' AND l_linenumber = 1), 6) AS \"F / 1\", round(avg(l_discount) FILTER (l_linestatus = 'O' AND l_linenumber = 1), 6) AS \"O / 1\", round(avg(l_discount) FILTER (l_linestatus = 'F' AND l_linenumber = 2), 6) AS \"F / 2\", round(avg(l_discount) FILTER (l_linestatus = 'O' AND l_linenumber = 2), 6) AS \"O / 2\" FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1",
+)
+def pivot_dimensions(spark, d):
+    out = slicer.pivot_dimensions(read(spark, d, "lineitem").where("l_linenumber <= 2"), ["l_returnflag"], ["l_linestatus", "l_linenumber"], "avg", "l_discount")
+    return out.select("l_returnflag", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c != "l_returnflag"])
+
+
+@query("slicer_version_columns", "SELECT 'entity' AS kind, 'user:' || user_id AS primary_id, event_id + 1 AS tx_assert, lead(event_id + 1) OVER (PARTITION BY user_id ORDER BY event_id) AS tx_supersede FROM events")
+def slicer_version_columns(spark, d):
+    return slicer.version_columns(user_log(spark, d)).select("kind", "primary_id", "tx_assert", "tx_supersede")
+
+
+@query("coarsen_totals", "WITH c AS (SELECT p_brand, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS total, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1) SELECT CASE WHEN r <= 5 THEN p_brand ELSE 'Other' END AS p_brand, CAST(sum(n) AS BIGINT) AS n, min(low) AS low, max(high) AS high, CAST(sum(total) AS DOUBLE) AS total FROM c GROUP BY 1")
+def coarsen_totals(spark, d):
+    p = read(spark, d, "part").withColumn("price", F.col("p_retailprice").cast("decimal(18,2)"))
+    return slicer.coarsen(p, "p_brand", 5, value="price").select("p_brand", "n", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col("total").cast("double").alias("total"))
+
+
+@query("histogram_buckets", "SELECT b.le AS le, (SELECT count(*) FROM lineitem WHERE l_quantity <= b.le) AS n FROM (VALUES (10.0::DOUBLE), (25.0), (50.0), ('Infinity'::DOUBLE)) b(le)")
+def histogram_buckets(spark, d):
+    return slicer.histogram(read(spark, d, "lineitem"), "l_quantity", [10.0, 25.0, 50.0])
+
+
+@query(
+    "text_embedding",
+    """WITH t AS (SELECT n_nationkey, lower(n_name) AS s FROM nation), c AS (SELECT n_nationkey, s, i, unicode(substr(s, i, 1)) AS a, unicode(substr(s, i + 1, 1)) AS b FROM t, range(1, 100) r(i) WHERE i <= length(s)),
+    g AS (SELECT n_nationkey, (a::BIGINT * 2654435761) % 4294967296 % 16 AS k FROM c UNION ALL SELECT n_nationkey, ((a::BIGINT * 31 + b) * 2654435761) % 4294967296 % 16 FROM c WHERE i < length(s)), n AS (SELECT n_nationkey, k, count(*) AS n FROM g GROUP BY 1, 2)
+    SELECT n_nationkey, CAST(k AS INTEGER) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY n_nationkey)), 5) AS share FROM n""",
+)
+def text_embedding(spark, d):
+    own = read(spark, d, "nation").select("n_nationkey", F.posexplode(S.text_embedding(F.col("n_name"))).alias("bucket", "share"))
+    return own.where("share > 0").select("n_nationkey", "bucket", F.round(F.col("share").cast("double"), 5).alias("share"))
+
+
+@query("decimal_text", "SELECT o_orderkey, CAST(CAST(round(o_totalprice * 100) AS BIGINT) / 1000 AS DECIMAL(38,3)) AS price FROM orders")
+def decimal_text(spark, d):
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return read(spark, d, "orders").select("o_orderkey", S.rescale(S.format_decimal(cents, 3).cast("decimal(30,3)"), 3).alias("price"))
+
+
+@query("value_codec", "SELECT p_partkey, '{\"t\":\"i64\",\"v\":\"' || p_size || '\"}' AS tagged, p_size AS back FROM part")
+def value_codec(spark, d):
+    from pyspark.sql import types as T
+
+    p = read(spark, d, "part").withColumn("tagged", S.to_tagged(F.col("p_size"), T.IntegerType()))
+    return p.select("p_partkey", "tagged", S.from_tagged(F.col("tagged"), T.IntegerType()).alias("back"))
+
+
+@query("constraints_by_metadata", "SELECT 'event' AS type, CAST(event_id AS VARCHAR) AS key, 'v' AS prop, 'required' AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), 'event_type', 'value_tag' FROM events")
+def constraints_by_metadata(spark, d):
+    rules = spark.createDataFrame([("event", "v", "required", None), ("event", "event_type", "value_tag", "i64"), ("event", "value", "value_tag", "f64"), ("nobody", "x", "required", None), ("event", "y", "other", None)], "type string, prop string, kind string, tag string")
+    events = read(spark, d, "events").withColumn("v", F.when(F.col("event_type") != "view", F.col("value")))
+    return constraints.violations({"event": events}, rules, "event_id")
+
+
+@query(
+    "capabilities_of_requests",
+    "SELECT r.user_id AS subject, r.event_type AS action, CAST(count(*) AS BIGINT) AS n, bool_or(r.user_id % 3 = 0 AND r.event_type = 'view' OR r.user_id % 3 = 1) AS allowed FROM events r GROUP BY 1, 2",
+)
+def capabilities_of_requests(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("action"), F.lit("record").alias("target"))
+    grant = F.when(F.col("subject") % 3 == 0, F.struct(F.lit("view").alias("action"), F.lit("*").alias("target"), F.lit(0).alias("expires_at"))).when(
+        F.col("subject") % 3 == 1, F.struct(F.lit("*").alias("action"), F.lit("record").alias("target"), F.lit(200).alias("expires_at"))
+    ).otherwise(F.struct(F.lit("*").alias("action"), F.lit("*").alias("target"), F.lit(50).alias("expires_at")))
+    caps = e.select("subject").distinct().select("subject", grant.alias("g")).select("subject", "g.*")
+    return constraints.allowed(e, caps, 100).groupBy("subject", "action").agg(F.count(F.lit(1)).alias("n"), F.max("allowed").alias("allowed"))
+
+
+@query("override_first_wins", "SELECT n_nationkey AS k, 'live' AS origin, n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT s_nationkey, 'historic', min(s_suppkey) FROM supplier WHERE s_nationkey % 2 <> 0 GROUP BY 1")
+def override_first_wins(spark, d):
+    live = read(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.lit("live").alias("origin"), F.col("n_nationkey").cast("long").alias("id"))
+    old = read(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("historic").alias("origin"), F.col("s_suppkey").alias("id"))
+    return views.override(live, old, "k", "id")
+
+
+@query("merge_databases", "SELECT s_suppkey, s_name, 'a' AS origin FROM supplier WHERE s_suppkey % 3 <> 1 UNION ALL SELECT s_suppkey, s_name, 'b' FROM supplier WHERE s_suppkey % 3 = 1")
+def merge_databases(spark, d):
+    s = read(spark, d, "supplier")
+    a = s.where("s_suppkey % 3 <> 1").withColumn("origin", F.lit("a")).withColumn("$hidden", F.lit(1))
+    return writes.merge_graphs(a, s.where("s_suppkey % 2 = 0 OR s_suppkey % 3 = 1").withColumn("origin", F.lit("b")), "s_suppkey").select("s_suppkey", "s_name", "origin")
+
+
+_KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query("radius_self_join", f"WITH e AS (SELECT event_id, ts, value, event_type, CAST(user_id % 60 AS DOUBLE) AS lat, CAST(event_id % 90 AS DOUBLE) AS lon FROM events) SELECT a.event_id AS main, b.event_id AS other FROM e a JOIN e b ON b.ts > a.ts AND b.ts <= a.ts + INTERVAL '6 hours' AND b.value < a.value WHERE a.event_type = 'error' AND {_KM} <= 400")
+def radius_self_join(spark, d):
+    e = read(spark, d, "events").select("event_id", "ts", "value", "event_type", (F.col("user_id") % 60).cast("double").alias("lat"), (F.col("event_id") % 90).cast("double").alias("lon"))
+    return views.radius_self_join(e.where("event_type = 'error'"), e, "ts", 6 * 3600, "lat", "lon", 400.0, "value").select(F.col("main_event_id").alias("main"), F.col("event_id").alias("other"))
+
+
+@query("write_query_aggregate", "SELECT kind, count(*) AS n, 0.0 AS total FROM (" + _AT.format(where="") + ") WHERE kind = 'click' GROUP BY 1")
+def write_query_aggregate(spark, d):
+    """The aggregate of a writing query sees what the query has written."""
+    g = Graph(entity_logs={"usr": user_log(spark, d)})
+    rows = writes.execute_query(spark, g, 'match usr(kind: "click") as ?u set ?u.value = 0.0 return ?u.kind, count(), sum(?u.value)')[1]
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, ("kind", "n", "total"))])
+
+
+@query("write_commit", "SELECT id, CASE WHEN kind = 'view' THEN NULL ELSE kind END AS kind FROM (" + _AT.format(where="") + ") WHERE kind <> 'view'")
+def write_commit(spark, d):
+    """The users' latest state put into a store, then a query that deletes; what a reader finds there."""
+    import uuid
+
+    from arcweave.sources.lineage import shared_folder
+    from arcweave.sources.store import Store
+
+    log = snapshot(user_log(spark, d)).drop("tx")
+    schema = "id string, tx long, is_tombstone boolean, value double, kind string"
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", {"usr": spark.createDataFrame([], schema).schema})
+    store.begin().put("usr", log).commit()
+    writes.commit(store, 'match usr(kind: "view") as ?u delete ?u')
+    return store.graph().at(None).entities["usr"].select("id", "kind")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

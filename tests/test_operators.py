@@ -114,3 +114,90 @@ def test_closure_goes_through_the_whole_cycle(spark):
     assert sorted(map(tuple, closure_of_successors(edges, starts).collect())) == sorted(want)
     with pytest.raises(ValueError):
         closure_of_successors(edges.unionByName(edges.limit(1).withColumn("dst", F.lit("q"))), starts)
+
+
+def test_closure_by_joins_and_within_tasks_agree(spark):
+    from arcweave.operators.recursion import closure
+
+    edges = spark.createDataFrame([(a, b) for a, b in [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "y"), (None, "q"), ("y", None)]], "src string, dst string")
+    starts = spark.createDataFrame([("a",), ("d",), ("x",), ("zz",), (None,)], "s string")
+    for least, most in ((0, None), (1, None), (0, 1), (2, 3), (2, 2), (0, 0), (1, 2), (3, 9)):
+        one, many = (sorted(map(tuple, closure(edges, starts, least, most, held).collect())) for held in (100, 0))
+        assert one == many, (least, most)
+
+
+def test_store_commits_conflicts_and_cursors(spark, tmp_path):
+    from arcweave.errors import QueryError
+    from arcweave.operators import writes
+    from arcweave.sources.store import Store, restore, uuid7
+
+    schema = spark.createDataFrame([], "id string, tx long, is_tombstone boolean, name string, n long").schema
+    store = Store(spark, str(tmp_path / "db"), {"person": schema})
+    people = spark.createDataFrame([("a", "Ann", 1), ("b", "Bob", 2)], "id string, name string, n long")
+    assert store.last_tx() == 0 and store.begin().put("person", people).commit() == 1
+    late = store.begin(reads=["person"])
+    assert store.begin().delete("person", people.where("id = 'b'").select("id")).commit() == 2
+    with pytest.raises(QueryError) as e:
+        late.put("person", people).commit()
+    assert e.value.code == "conflict" and store.last_tx() == 2
+    gone = store.begin().put("person", people)
+    gone.rollback()
+    with pytest.raises(QueryError):
+        gone.commit()
+    numbers, rows = writes.commit(store, 'match person(name: ?x) as ?p set ?p.n = 9 create person(name: ?x, n: 4) as ?r merge person(name: "Cid", n: 3) as ?q return ?p.n')
+    assert numbers == [3, 4, 5] and [tuple(r) for r in rows.collect()] == [(9,)]
+    live = {(r.name, r.n) for r in store.graph().at(None).entities["person"].collect()}
+    assert live == {("Ann", 9), ("Cid", 3), ("Ann", 4)}
+    assert {r.name for r in store.graph().at(1).entities["person"].collect()} == {"Ann", "Bob"}
+    numbers, rows = writes.commit(store, 'create person(name: "Dee", n: 5) as ?d return ?d.name, ?d.n')
+    assert numbers == [6] and [tuple(r) for r in rows.collect()] == [("Dee", 5)]
+    live.add(("Dee", 5))
+    cursor, seen = 0, 0
+    while (step := store.tail(cursor, 2))[1] > cursor:
+        seen += step[0]["person"].count()
+        cursor = step[1]
+    assert (cursor, seen) == (6, store.log("person").count())
+    copy = restore(spark, store.path, str(tmp_path / "copy"), store.schemas)
+    store.compact()
+    assert {(r.name, r.n) for r in store.graph().at(None).entities["person"].collect()} == live == {(r.name, r.n) for r in copy.graph().at(None).entities["person"].collect()}
+    with pytest.raises(QueryError):
+        store.tail(1)
+    ids = [uuid7(1000 + k) for k in range(5)]
+    assert ids == sorted(ids) and all(i[14] == "7" and i[19] in "89ab" for i in ids)
+
+
+def test_pages_constraints_principals_and_lines(spark):
+    from arcweave.errors import QueryError
+    from arcweave.operators import constraints, lookup
+
+    df = spark.range(23).withColumnRenamed("id", "k")
+    assert [[r.k for r in p] for p in lookup.pages(df, "k", 10)] == [[*range(10)], [*range(10, 20)], [20, 21, 22]]
+    rules = spark.createDataFrame([("t", "name", "required", None), ("t", "n", "value_tag", "string")], "type string, prop string, kind string, tag string")
+    good = spark.createDataFrame([("1", "x", "5")], "id string, name string, n string")
+    constraints.check({"t": good}, rules)
+    for bad, code in ((good.withColumn("name", F.lit(None).cast("string")), "missing_required_property"), (good.withColumn("n", F.lit(5)), "wrong_value_tag"), (good.withColumn("n__tag", F.lit("i64")), "wrong_value_tag")):
+        with pytest.raises(QueryError) as e:
+            constraints.check({"t": bad}, rules)
+        assert e.value.code == code
+    who = spark.createDataFrame([("p1", "s3cret"), ("p2", "s3cret"), ("p3", None)], "id string, token string")
+    assert constraints.principal_of(who, "s3cret") == "p2" and constraints.principal_of(who, "nope") is None
+    points = spark.createDataFrame([(1, 10.0, 10.0), (2, 10.2, 10.0), (3, 50.0, 0.0), (4, None, 0.0)], "p int, lat double, lon double")
+    lines = spark.createDataFrame([("b", [(10.0, 10.1), (60.0, 0.0)]), ("a", [(10.0, 9.9), (10.3, 10.0)])], "id string, trace array<struct<lat: double, lon: double>>")
+    assert {r.p: r.id for r in views.nearest_line(points, lines, 31.0).collect()} == {1: "a", 2: "a", 3: None, 4: None}
+
+
+def test_scalar_texts(spark):
+    rows = spark.createDataFrame([(0,), (5,), (-5,), (12345,), (-100,), (None,)], "n long")
+    assert [r.t for r in rows.select(S.format_decimal(F.col("n"), 2).alias("t")).collect()] == ["0.00", "0.05", "-0.05", "123.45", "-1.00", None]
+    ids = spark.createDataFrame([("AB-c",), ("abc",), ("",), (None,)], "t string").select(S.fnv1a("t").alias("h")).collect()
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    assert [r.h for r in ids] == [signed(S.fnv1a64("abc"))] * 2 + [signed(S.fnv1a64("")), None]
+    one = spark.range(1).select(S.category_place(F.lit("b"), ["a", "b", "c"]).alias("p"), S.importance_layout(F.lit(9), F.lit(9), F.lit(0.25), F.lit(2001), 2000.0).alias("l"), S.text_embedding(F.lit("")).alias("e")).first()
+    assert one.p == 0.5 and abs(one.l.x) < 1e-9 and one.l.z == 1.0 and set(one.e) == {0.0}
+
+
+def test_percentiles_of_a_hot_group(spark):
+    df = spark.range(0, 5000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS g", "double(id * 7 % 5000) AS v", "id % 3 AS w").unionByName(spark.createDataFrame([(None, 1.0, 1), ("c", None, 2)], "g string, v double, w long"))
+    got = {r.g: (r.p, r.q, r.n) for r in Pipeline().group_by("g").aggregate(p=("percentile", "v", 0.37), n=("count", "w"), q=("percentile", "w", 1.0)).run(df).collect()}
+    want = {r.g: (r.p, r.q, r.n) for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.37)).alias("p"), F.percentile("w", F.lit(1.0)).alias("q"), F.count("w").alias("n")).collect()}
+    assert got.keys() == want.keys() and all(a == b or all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b)) for a, b in ((got[k], want[k]) for k in want))

@@ -29,7 +29,7 @@ _ASCII = re.compile(r"[a-z]+")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 #: Positions of words' lattices that are held at once; a longer word is scored by itself.
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -215,7 +215,7 @@ class Model:
             for places in packs(own):
                 some = [own[k] for k in places]
                 lengths = np.array([len(w) + 1 for w in some])
-                if lengths.max() > CELLS // 100:
+                if lengths.max() > CELLS // 25:
                     found[places] = [long_score(self.lattice, MARK + w, self.log_p) for w in some]
                 else:
                     found[places] = log_forward(self.lattice.edges([MARK + w for w in some]), lengths, self.log_p)[np.arange(len(some)), lengths]

@@ -222,7 +222,7 @@ def models_of(counts: np.ndarray, words: dict[bytes, int], width: int, slots: in
     return Models(words, width, slots, both.reshape(2, -1).astype(np.float32), both.sum(axis=1), both.sum(axis=2), total, scale, matched)
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: int = 1024, chunk: int = 1 << 20, matched: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: int = 1024, chunk: int = 1 << 21, matched: bool = False) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs`` (doc_id, text).
 
     ``size`` bounds the vocabulary, with one symbol for all words beyond it; None: it has all

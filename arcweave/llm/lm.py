@@ -150,7 +150,7 @@ class Codes(dict):
 
 def planes(values: np.ndarray) -> bytes:
     """Byte by byte, so that Spark's compression finds the equal ones."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
 def unplaned(blob: bytes, dtype: str) -> np.ndarray:
@@ -158,21 +158,6 @@ def unplaned(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def packed(t: np.ndarray, other: np.ndarray, flags: np.ndarray) -> bytes:
-    """Rows in the order of ``t``: each word once with its number of rows, then the other columns."""
-    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    times = np.diff(starts, append=len(t)).astype("<u4")
-    return len(starts).to_bytes(4, "little") + planes(t[starts]) + planes(times) + planes(other) + planes(flags)
-
-
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = int.from_bytes(blob[:4], "little")
-    at = 4 + 12 * m
-    n = (len(blob) - at) // 12
-    t = np.repeat(unplaned(blob[4 : 4 + 8 * m], "<u8"), unplaned(blob[4 + 8 * m : at], "<u4"))
-    return t, unplaned(blob[at : at + 8 * n], "<u8"), unplaned(blob[at + 8 * n :], "<u4")
-
-
 def runs(*keys: np.ndarray) -> np.ndarray:
     """The number of the run of equal keys that each place is in."""
     new = np.zeros(len(keys[0]), dtype=bool)
@@ -181,6 +166,40 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.diff(runs(*keys), prepend=-1))
+
+
+def packed(t: np.ndarray, other: np.ndarray, flags: np.ndarray) -> bytes:
+    """Rows in the order of (``t``, ``other``): each word with its number of pairs, each pair with its number of rows, then the flags."""
+    pair = starts(t, other)
+    t, other, times = t[pair], other[pair], np.diff(pair, append=len(t))
+    word = starts(t)
+    pairs_of = np.diff(word, append=len(t))
+    rare = other >= np.uint64(RARE)
+    sizes = np.array([len(word), len(pair), rare.sum()], dtype="<u4")
+    columns = [t[word], pairs_of.astype("<u4"), times.astype("<u4"), other[rare], other[~rare], flags]
+    return sizes.tobytes() + np.packbits(rare).tobytes() + b"".join(map(planes, columns))
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, pairs, rares = np.frombuffer(blob[:12], "<u4").tolist()
+    at = 12 + (pairs + 7) // 8
+    rare = np.unpackbits(np.frombuffer(blob[12:at], np.uint8), count=pairs).astype(bool)
+
+    def column(n: int, dtype: str) -> np.ndarray:
+        nonlocal at
+        begin, at = at, at + n * np.dtype(dtype).itemsize
+        return unplaned(blob[begin:at], dtype)
+
+    t, pairs_of, times = column(words, "<u8"), column(words, "<u4"), column(pairs, "<u4")
+    other = np.empty(pairs, dtype="<u8")
+    other[rare] = column(rares, "<u8")
+    other[~rare] = column(pairs - rares, "<u8")
+    return np.repeat(np.repeat(t, pairs_of), times), np.repeat(other, times), unplaned(blob[at:], "<u4")
+
+
 def rare_terms(t: np.ndarray, other: np.ndarray, good: np.ndarray, last: np.ndarray, doc: np.ndarray, models: Models) -> np.ndarray:
     """[2, rows]: what each row adds to the target's and the background's loss of its document.
 
@@ -291,7 +310,7 @@ def score(docs: DataFrame, labels: DataFrame, size: int | None = None, common: i
             t = np.concatenate([code[rare_b], prev[rare_a]])
             other = np.concatenate([prev[rare_b], code[rare_a] + np.uint64(width) + (own_b[rare_a].astype(np.uint64) << np.uint64(32))])
             flags = np.concatenate([flags[rare_b], flags[rare_a]]).astype(np.uint32)
-            order = np.argsort(t)
+            order = np.lexsort((other, t))
             t, other, flags = t[order], other[order], flags[order]
             # Parts are ranges of the hash, so they are in this order too.
             part = ((t >> np.uint64(32) & np.uint64(0x7FFFFFFF)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)

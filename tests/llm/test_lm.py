@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from arcweave.llm import lm
 
 
@@ -109,3 +111,13 @@ def test_matched_models_leave_each_row_out(spark, docs_of):
             assert [f[:2] for f in found] == [w[:2] for w in want]
             for f, w in zip(found, want):
                 assert w[2] is None and f[2:] == (None, None, None) or all(abs(a - b) < 1e-4 for a, b in zip(f[2:], [*w[2:], w[2] - w[3]])), (f, w)
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 8, 9, 1000):
+        t = rng.integers(0, 5, n).astype(np.uint64) | np.uint64(lm.RARE)
+        other = rng.integers(0, 9, n).astype(np.uint64) | np.where(rng.random(n) < 0.5, np.uint64(lm.RARE), np.uint64(0))
+        order = np.lexsort((other, t))
+        rows = t[order], other[order], rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+        assert all(np.array_equal(x, y) for x, y in zip(lm.unpacked(lm.packed(*rows)), rows))

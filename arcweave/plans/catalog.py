@@ -435,6 +435,14 @@ def vector_matrix(spark, d):
     return m.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+@query("dictionary_export", "SELECT kind, id, name FROM (VALUES ('role', 1, 'buyer'), ('role', 2, 'nation'), ('role', 3, 'order'), ('role', 4, 'region'), ('type', 1, 'in_region'), ('type', 2, 'nation'), ('type', 3, 'placed'), ('type', 4, 'region'), ('property', 1, 'name'), ('property', 2, 'nationkey'), ('property', 3, 'orderdate'), ('property', 4, 'priority'), ('property', 5, 'regionkey'), ('property', 6, 'status'), ('property', 7, 'totalprice')) t(kind, id, name)")
+def dictionary_export(spark, d):
+    g = graph(spark, d)
+    part = Graph(entities={n: g.entities[n] for n in ("nation", "region")}, edges={n: g.edges[n] for n in ("placed", "in_region")})
+    types, roles, props = (export.dictionaries(part)[n].select(F.lit(k).alias("kind"), "id", "name") for n, k in (("types", "type"), ("roles", "role"), ("properties", "property")))
+    return types.unionByName(roles).unionByName(props)
+
+
 @query("json_lines", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS value FROM region")
 def json_lines(spark, d):
     return export.json_lines(read(spark, d, "region"))

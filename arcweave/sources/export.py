@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.sources.graph import Graph
+from arcweave.sources.keys import visible
+
 
 def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
@@ -24,8 +28,36 @@ def vector_matrix(df: DataFrame, dim: int, id_col: str = "id", vec_col: str = "e
     return df.where(F.col(vec_col).isNotNull()).withColumn("__ok", ok).where(F.col("__ok").isNull()).select(id_col, vec_col)
 
 
-def dictionary(df: DataFrame) -> list[str]:
-    return list(df.columns)
+def dictionaries(graph: Graph) -> dict[str, DataFrame]:
+    """types (id, name, kind), roles and properties (id, name): a graph's names, numbered from 1 in their order.
+
+    Names are schema, not data: no table is read for them.
+    """
+    kinds = {n: "entity" for n in graph.entities} | {n: "edge" for n in graph.edges}
+    held, edges = [df for _, df in graph.entities.items()], [e for _, e in graph.edges.items()]
+    roles = {r for e in edges for r in e.roles}
+    props = {c for df in held for c in visible(df.columns) if c != "id"} | {p for e in edges for p in e.props}
+    spark = (held or [e.df for e in edges])[0].sparkSession
+    numbered = lambda names: [(k, n) for k, n in enumerate(sorted(names), 1)]
+    return {
+        "types": spark.createDataFrame([(k, n, kinds[n]) for k, n in numbered(kinds)], "id int, name string, kind string"),
+        "roles": spark.createDataFrame(numbered(roles), "id int, name string"),
+        "properties": spark.createDataFrame(numbered(props), "id int, name string"),
+    }
+
+
+def stream_lines(df: DataFrame, most: int | None = None) -> Iterator[str]:
+    """A header {"columns", "truncated"}, then each row as a JSON array, one partition at a time on the driver.
+
+    With ``most`` at most as many rows come, and truncated tells whether there are more.
+    """
+    cut = most is not None and len(df.limit(most + 1).select(F.lit(1)).collect()) > most
+    yield json.dumps({"columns": df.columns, "truncated": cut})
+    rows = df if most is None else df.limit(most)
+    # Values of several types in one array, each as JSON by itself.
+    one = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(?s:(.*))\}$', "$1")
+    for row in rows.select(F.concat(F.lit("["), F.concat_ws(",", *map(one, df.columns)), F.lit("]"))).toLocalIterator():
+        yield row[0]
 
 
 def as_text(df: DataFrame, kind: str = "tsv", most: int = 1000) -> str:

@@ -201,3 +201,92 @@ def test_percentiles_of_a_hot_group(spark):
     got = {r.g: (r.p, r.q, r.n) for r in Pipeline().group_by("g").aggregate(p=("percentile", "v", 0.37), n=("count", "w"), q=("percentile", "w", 1.0)).run(df).collect()}
     want = {r.g: (r.p, r.q, r.n) for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.37)).alias("p"), F.percentile("w", F.lit(1.0)).alias("q"), F.count("w").alias("n")).collect()}
     assert got.keys() == want.keys() and all(a == b or all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b)) for a, b in ((got[k], want[k]) for k in want))
+
+
+def test_approximate_search_finds_nine_in_ten(spark, sf_dir):
+    held = spark.read.parquet(f"{sf_dir}/../sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding").cache()
+    queries = [r.embedding for r in held.where("id % 100 = 0").orderBy("id").collect()]
+    for metric in ("l2", "cosine"):
+        found, far = 0, 0.0
+        for q in queries:
+            want = {r.id: r.distance for r in vector.knn(held, q, 10, metric).collect()}
+            got = {r.id: r.distance for r in vector.approximate_knn(held, q, 10, metric).collect()}
+            found += len(want.keys() & got.keys())
+            far = max([far, *(abs(want[i] - got[i]) for i in want.keys() & got.keys())])
+        assert found >= 9 * len(queries) and far < 1e-4, (metric, found, far)
+    held.unpersist()
+    with pytest.raises(ValueError):
+        vector.approximate_knn(held, queries[0], 0)
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0]), (3, None), (4, [1.0])], "id long, embedding array<double>")
+    assert [(r.id, r.distance) for r in vector.approximate_knn(zero, [0.0, 1.0], 5, "cosine").collect()] == [(2, 0.0)]
+    assert vector.approximate_knn(zero.limit(0), [0.0, 1.0], 5).collect() == []
+
+
+def test_texts_near_a_query(spark):
+    texts = spark.createDataFrame([(1, "graph stores"), (2, "Graph Store"), (3, None), (4, "zzz"), (5, "")], "id long, text string")
+    near = vector.text_knn(texts, "GRAPH STORE", 3).collect()
+    assert near[0].id == 2 and abs(near[0].distance) < 1e-6 and near[1].id == 1 and len(near) == 3
+
+
+def test_follower_keeps_one_of_versions_that_come_again(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, False), ("b", 2, False)], "id string, tx long, is_tombstone boolean")
+    path, target = str(tmp_path / "log"), str(tmp_path / "copy")
+    for rows in (log, log.where("id = 'b'").unionByName(spark.createDataFrame([("b", 3, True)], log.schema)), log):
+        rows.write.mode("append").parquet(path)
+        feed.follow(feed.subscribe(spark, path, log.schema), target, str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted((r.id, r.tx) for r in spark.read.parquet(target).collect()) == [("a", 1), ("b", 2), ("b", 3)]
+
+
+def test_windowed_counts_drop_what_is_too_late(spark, tmp_path):
+    path = str(tmp_path / "in")
+    out = {}
+
+    def keep(batch, number):
+        out.update({(str(r.window.start)[11:16], r.k): r.n for r in batch.collect()})
+
+    for k, times in enumerate((["10:01", "10:04", "10:11"], ["10:59"], ["10:02", "11:30"], ["12:00"])):
+        spark.createDataFrame([(f"2026-01-01 {t}:00", "x") for t in times], "t string, k string").selectExpr("to_timestamp(t) AS t", "k").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("t timestamp, k string").parquet(path)
+        feed.windowed_counts(stream, "t", "k", "10 minutes", "5 minutes").writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert out == {("10:00", "x"): 2, ("10:10", "x"): 1, ("10:50", "x"): 1, ("11:30", "x"): 1}
+
+
+def test_dictionaries_and_streamed_lines(spark):
+    import json
+
+    from arcweave.sources.graph import Graph
+
+    g = Graph(entities={"t": spark.createDataFrame([("1", 2)], "id string, n int")}, edges={"e": Edge(spark.createDataFrame([("1", ["2"], 0.5)], "x string, y array<string>, w double"), ["x", "y"])})
+    told = {n: [tuple(r) for r in df.collect()] for n, df in export.dictionaries(g).items()}
+    assert told == {"types": [(1, "e", "edge"), (2, "t", "entity")], "roles": [(1, "x"), (2, "y")], "properties": [(1, "n"), (2, "w")]}
+    df = spark.createDataFrame([(1, 'a"}\n', [1.5]), (2, None, None)], "n int, `a b` string, v array<double>").orderBy("n")
+    lines = [json.loads(x) for x in export.stream_lines(df)]
+    assert lines == [{"columns": ["n", "a b", "v"], "truncated": False}, [1, 'a"}\n', [1.5]], [2, None, None]]
+    assert [json.loads(x) for x in export.stream_lines(df, 1)] == [{"columns": ["n", "a b", "v"], "truncated": True}, lines[1]]
+    assert next(iter(export.stream_lines(df.limit(0), 0))) == json.dumps({"columns": df.columns, "truncated": False})
+
+
+def test_works_and_their_citations(spark, tmp_path):
+    import gzip
+    import json
+
+    from arcweave.plans.compiler import run
+    from arcweave.sources import works
+
+    row = lambda n, **more: {"id": f"https://openalex.org/W{n}", "publication_year": 2020, "display_name": f"t{n}", **more}
+    level = lambda *of: [{"display_name": f"c{k}", "level": k} for k in of]
+    refs = [f"https://openalex.org/W{n}" for n in (1, 2, 2, 3, 9)] + ["https://x/A5", None]
+    rows = [
+        row(1, cited_by_count=3, concepts=level(0, 2, 1), referenced_works=refs, authorships=[{"author": {"display_name": "Ann"}}, {"author": {}}]),
+        row(2, concepts=level(0), doi="d"), row(2, cited_by_count=1, display_name=None, concepts=[]), row(3, publication_year=0), {"id": "https://openalex.org/A7", "publication_year": 1}, {"id": None},
+    ]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, own in (("part_0.gz", rows[:3]), ("deep/part_1.jsonl.gz", rows[3:]), ("other.gz", [row(8)])):
+        with gzip.open(tmp_path / "in" / name, "wt") as f:
+            f.write("".join(json.dumps(r) + "\n" for r in own))
+    found = {r.number: r for r in works.papers(spark, str(tmp_path / "in")).collect()}
+    assert found.keys() == {1, 2} and (found[1].field, found[1].authors, found[1].citations) == ("c2", ["Ann"], 3)
+    assert (found[2].name, found[2].field, found[2].doi, found[2].cited) == ("(untitled)", "Unknown", "", None)
+    g = works.graph(spark, str(tmp_path / "in"))
+    got = run(spark, g, "match cites(citing: ?a, cited: ?b) paper(name: ?n) as ?b return ?a, ?n").collect()
+    assert [tuple(r) for r in got] == [("paper:1", "(untitled)")] * 2

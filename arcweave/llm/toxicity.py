@@ -19,7 +19,7 @@ later category's input and not the threshold, has seen the row that it is for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -144,12 +144,15 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((low + high) / 2, 0.25, 0.95))
 
 
-def matrix(found: list[set[bytes]], features: list[bytes]) -> np.ndarray:
+def matrix(found: Iterable[set[bytes]], features: list[bytes]) -> np.ndarray:
+    """[text, feature]: 1 where the text has the feature. Of ``found`` one set at a time is held."""
     place = {f: k for k, f in enumerate(features)}
-    known, x = frozenset(place), np.zeros((len(found), len(features)), dtype=np.float32)
-    for row, own in enumerate(found):
-        x[row, [place[f] for f in known & own]] = 1
-    return x
+    known, rows = frozenset(place), [np.zeros((0, len(features)), dtype=np.float32)]
+    for own in found:
+        row = np.zeros((1, len(features)), dtype=np.float32)
+        row[0, [place[f] for f in known & own]] = 1
+        rows.append(row)
+    return np.concatenate(rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Chain:
@@ -209,7 +212,7 @@ def _scorer(docs: DataFrame, chain: Chain):
         chain, out = shared.value, [np.zeros((0, len(CATEGORIES)))]
         for at in range(0, len(texts), 2000):
             own = texts[at : at + 2000]
-            out.append(chain.probabilities(matrix([features_of(set(words_of(t))) for t in own], chain.features)))
+            out.append(chain.probabilities(matrix((features_of(set(words_of(t))) for t in own), chain.features)))
         return np.concatenate(out)
 
     return score, chain.threshold

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -266,27 +266,43 @@ def money_sum(df: DataFrame, group: str, amount: str, scale: int = 2) -> DataFra
     return df.groupBy(group).agg(F.sum(F.col(amount).cast(f"decimal(18,{scale})")).cast(f"decimal(38,{scale})").alias("total"))
 
 
-def nearest(left: DataFrame, right: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """``left`` with the ``key`` of the ``right`` row whose ``y`` is nearest to ``x`` (ties: the least key).
+def _carried(df: DataFrame, order: str, one: Column, own: bool) -> DataFrame:
+    """``df`` with ``_b`` and ``_a``: the last non-null ``one`` before each row in ``order`` and the first after it, the row itself included if ``own``.
 
-    Distinct values of both are put in order over range partitions, in each of which every value
-    sees the nearest right values below and above; the ends of the partitions, a row each, carry
-    them on. Null values have no nearest and null keys aren't any; no right rows give null keys.
+    Rows lie in range partitions, each of which is gone through forwards and backwards; the ends of
+    the partitions, a row each, carry on. ``one`` is a struct that begins with ``order``, in which no value repeats.
+    """
+    ranged = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    ends = ranged.groupBy("_p").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    low, high = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_p"), F.desc("_p")))
+    ends = ends.select("_p", F.last("hi", True).over(low).alias("_below"), F.last("lo", True).over(high).alias("_above"))
+    # Both ways the frame grows: one that shrinks (to unboundedFollowing) is gone through anew for each row.
+    up, down = (Window.partitionBy("_p").orderBy(o).rowsBetween(Window.unboundedPreceding, 0 if own else -1) for o in (F.asc(order), F.desc(order)))
+    return ranged.join(F.broadcast(ends), "_p").select(*df.columns, F.coalesce(F.last(one, True).over(up), "_below").alias("_b"), F.coalesce(F.last(one, True).over(down), "_above").alias("_a"))
+
+
+def nearest(left: DataFrame, right: DataFrame, x: str, y: str, key: str, distance: str | None = None) -> DataFrame:
+    """``left`` with the ``key`` of the ``right`` row whose ``y`` is nearest to ``x`` (ties: the least key), and its ``distance`` if that is named.
+
+    Distinct values of both are put in order, where every value sees the nearest right values below
+    and above. If a right value beyond those is no farther (infinite, NaN, or too large for the
+    difference to show), the value meets all distinct right values. Null values have no nearest and
+    null keys aren't any; no right rows give null keys.
     """
     own = right.where(f"{y} IS NOT NULL AND {key} IS NOT NULL").groupBy(F.col(y).alias("_v")).agg(F.min(key).alias("_k"))
-    values = left.select(F.col(x).alias("_v")).where("_v IS NOT NULL").distinct().withColumn("_k", F.lit(None).cast(right.schema[key].dataType))
-    both = own.unionByName(values).groupBy("_v").agg(F.min("_k").alias("_k"))
-    both = cut(both.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
-    one = F.when(F.col("_k").isNotNull(), F.struct("_v", "_k"))
-    ends = both.groupBy("_p").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
-    low, high = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
-    ends = ends.select("_p", F.last("hi", True).over(low).alias("_below"), F.first("lo", True).over(high).alias("_above"))
-    here = Window.partitionBy("_p").orderBy("_v")
-    seen = both.join(F.broadcast(ends), "_p").select(
-        "_v",
-        F.coalesce(F.last(one, True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "_below").alias("b"),
-        F.coalesce(F.first(one, True).over(here.rowsBetween(0, Window.unboundedFollowing)), "_above").alias("a"),
-    )
-    ranked = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}._v")).alias("d"), F.col(f"{c}._k").alias("k"))) for c in "ba"]
-    found = seen.select("_v", F.least(*ranked)["k"].alias(key))
-    return left.join(found, left[x] == found["_v"], "left").select(*left.columns, key)
+    own = _carried(own, "_v", F.struct("_v", "_k"), False).select("_v", "_k", F.col("_b._v").alias("_lower"), F.col("_a._v").alias("_upper"))
+    values = left.select(F.col(x).alias("_v")).where("_v IS NOT NULL").distinct()
+    both = own.unionByName(values, allowMissingColumns=True).groupBy("_v").agg(*[F.min(c).alias(c) for c in ("_k", "_lower", "_upper")])
+    seen = _carried(both, "_v", F.when(F.col("_k").isNotNull(), F.struct(*both.columns)), True)
+    off = lambda c: F.abs(F.col("_v") - F.col(c))
+    at = lambda d, k: F.struct(d.alias("d"), F.col(k).alias("k"))
+    best = F.least(*[F.when(F.col(c).isNotNull(), at(off(f"{c}._v"), f"{c}._k")) for c in ("_b", "_a")])
+    no_farther = lambda c: F.coalesce(off(c) <= F.col("_n.d"), F.lit(False))
+    least = F.least(F.col("_n.d"), off("_b._lower"), off("_a._upper"))
+    seen = cut(seen.withColumn("_n", best).select("_v", "_n", least.alias("_d"), (no_farther("_b._lower") | no_farther("_a._upper")).alias("_more")))
+    found, more = seen.where("NOT _more").select("_v", "_n"), seen.where("_more").select("_v", "_d")
+    if not more.isEmpty():
+        pairs = more.repartition(left.sparkSession.sparkContext.defaultParallelism).crossJoin(own.select(F.col("_v").alias("_y"), "_k")).where(off("_y") == F.col("_d"))
+        found = found.unionByName(pairs.groupBy("_v", "_d").agg(F.min("_k").alias("_k")).select("_v", at(F.col("_d"), "_k").alias("_n")))
+    extra = [] if distance is None else [F.col("_n.d").alias(distance)]
+    return left.join(found, left[x] == found["_v"], "left").select(*left.columns, F.col("_n.k").alias(key), *extra)

@@ -101,6 +101,24 @@ def test_nearest_over_whole_tables(spark):
     assert {r.k for r in views.nearest(left, right.limit(0), "x", "y", "k").collect()} == {None}
 
 
+def test_nearest_goes_through_many_distinct_values_once(spark):
+    import bisect
+    import time
+
+    n = 60_000
+    left = spark.range(n).select(F.col("id").alias("c"), (F.col("id") * 7919 % n / 8).alias("x"))
+    right = spark.range(n // 4).select(F.col("id").alias("k"), (F.col("id") * 7 % n / 2 + 0.0625).alias("y"))
+    began = time.time()
+    found = {r.c: r.k for r in views.nearest(left, right, "x", "y", "k").collect()}
+    assert time.time() - began < 40
+    ys = sorted((r.y, r.k) for r in right.collect())
+    for c in range(0, n, 997):
+        x = c * 7919 % n / 8
+        at = bisect.bisect(ys, (x, -1))
+        assert found[c] == min((abs(x - y), k) for y, k in ys[max(at - 2, 0) : at + 2])[1]
+    assert len(found) == n
+
+
 def test_closure_goes_through_the_whole_cycle(spark):
     edges = spark.createDataFrame([(str(k), str((k * 7 + 3) % 20000)) for k in range(20000)] + [("a", "b"), ("b", None)], "src string, dst string")
     starts = spark.createDataFrame([("1",), ("2",), ("a",), ("z",)], "s string")
